@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a local session is built with; a cluster brings its own.
@@ -51,3 +55,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast object, loaded by calling the result in a task. Objects of this
+    package's classes travel by value, so workers need no copy of the package."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
