@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.residue import line_holds, may_hold
+from webloom.session import shipped
 
 # Wording of page furniture in the languages of the tables, by purpose.
 FURNITURE = {
@@ -145,10 +146,10 @@ def label_lines(text: str, stops: frozenset[str]) -> list[bool | None]:
 
 
 def _map(rows: DataFrame, keys: list[str], content: str, stops: frozenset[str], schema: str, make) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(stops)
+    shared = shipped(rows.sparkSession, stops)
 
     def run(batches):
-        stops = shared.value
+        stops = shared()
         for batch in batches:
             kept, made = [], []
             for n, text in enumerate(batch.column(len(keys)).to_pylist()):

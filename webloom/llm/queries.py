@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, repeated_lines, residue
+from webloom.llm import boilerplate, language, mojibake, repeated_lines, residue
 from webloom.session import table
 
 EXPORT = "export_26022026_231803"
@@ -15,6 +15,16 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "scraped_items")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of long contents whose label is missing or wrong or which are mixed."""
+    return language.wrong_labels(_items(spark, sf_dir), language.train(table(spark, sf_dir, "lang_samples")))
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every title, content and segment of mixed content."""
+    return language.label(_items(spark, sf_dir), language.train(table(spark, sf_dir, "lang_samples")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated within their spider."""
     return repeated_lines.repeated_positions(_items(spark, sf_dir), "spider_id", "id", "content")
@@ -61,11 +71,25 @@ def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_body(p7_rows(spark, sf_dir), stops, ["tbl", "id"])
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one character from a wrong decoding."""
+    return mojibake.damaged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).select("doc_id").distinct()
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged texts, restored where that is possible."""
+    return mojibake.repaired(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
     "p4_found": p4_found,
     "p4_blocks": p4_blocks,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_bodies": p7_bodies,
+    "p10_found": p10_found,
+    "p10_repaired": p10_repaired,
 }
 ORACLE_SQL = {"p4_found": P4_SQL}
