@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, language, mojibake, repeated_lines, residue
+from webloom.llm import boilerplate, language, mojibake, neardup, repeated_lines, residue
 from webloom.session import table
 
 EXPORT = "export_26022026_231803"
@@ -25,6 +25,16 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label(_items(spark, sf_dir), language.train(table(spark, sf_dir, "lang_samples")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that share at least 0.6 of their runs of three words."""
+    return neardup.similar_pairs(_items(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every long enough row."""
+    return neardup.groups(_items(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated within their spider."""
     return repeated_lines.repeated_positions(_items(spark, sf_dir), "spider_id", "id", "content")
@@ -84,6 +94,8 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_languages": p2_languages,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_blocks": p4_blocks,
     "p5_found": p5_found,
