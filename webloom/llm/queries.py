@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, language, mojibake, neardup, repeated_lines, residue
-from webloom.session import table
+from webloom.llm import boilerplate, language, mixing, mojibake, names, neardup, packing, repeated_lines, residue
+from webloom.llm.tokens import token_counts
+from webloom.session import stored, table
 
 EXPORT = "export_26022026_231803"
 
@@ -62,6 +63,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.detect(_items(spark, sf_dir)).select("id").distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of author spellings that name the same person or organisation."""
+    return names.variant_pairs(_items(spark, sf_dir))
+
+
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every author spelling that names one."""
+    return names.entities(_items(spark, sf_dir))
+
+
 def p7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, id, content) of items and export rows with at least 500 characters."""
     items, export = _items(spark, sf_dir), table(spark, sf_dir, EXPORT)
@@ -81,6 +92,34 @@ def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_body(p7_rows(spark, sf_dir), stops, ["tbl", "id"])
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of each capacity."""
+    sizes = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(sizes, table(spark, sf_dir, "token_budgets"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and room left of each capacity."""
+    packed = p8_containers(spark, sf_dir).where("container_id IS NOT NULL").groupBy("budget_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    filled = packed.join(table(spark, sf_dir, "token_budgets"), "budget_id")
+    return filled.select("budget_id", "capacity_tokens", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = stored(token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")), "sizes")
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the mixed collection with their repeats."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares the mixed collection reaches."""
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least one character from a wrong decoding."""
     return mojibake.damaged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).select("doc_id").distinct()
@@ -99,8 +138,14 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_blocks": p4_blocks,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_entities": p6_entities,
     "p7_found": p7_found,
     "p7_bodies": p7_bodies,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_repaired": p10_repaired,
 }
