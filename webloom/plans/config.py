@@ -1,0 +1,168 @@
+"""Configurations: sections, validation, coverage, and their compilation to plans.
+
+A configuration is small and stays on the driver; what it compiles to are columns
+and one function a page.
+"""
+
+from __future__ import annotations
+
+import re
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from webloom.functions import processors
+from webloom.functions.html import pages as html_pages
+from webloom.operators.routing import routed_by
+
+CORE = ("title", "content", "author", "published_date")
+BOOKKEEPING = ("url", "spider_id", "spider_name", "source", "extracted_at", "scraped_at", "html", "_callback")
+PROCESSORS = ("strip", "replace", "regex", "cast", "join", "default", "lowercase", "parse_datetime")
+#: Bounds of numeric settings.
+BOUNDS = {"CONCURRENT_REQUESTS": (1, 32), "DOWNLOAD_DELAY": (0, 60), "max_pages": (1, 1000), "click_delay": (0.5, 10)}
+RESERVED = ("parse", "start", "parse_start_url", "closed", "log")
+
+
+class ConfigError(ValueError):
+    """A configuration that cannot be compiled."""
+
+
+def expand_sections(config: dict[str, Any]) -> dict[str, Any]:
+    """Sections as rules, callbacks and settings. Without ``extract`` a section only
+    follows; ``"auto"`` parses articles; an object of selectors is a callback; an
+    object with ``"auto": true`` overrides fields of articles, once at most."""
+    out = {k: v for k, v in config.items() if k != "sections"}
+    rules, callbacks, settings = list(out.get("rules", [])), dict(out.get("callbacks", {})), dict(out.get("settings", {}))
+    mixed = 0
+    for n, section in enumerate(config.get("sections", [])):
+        extract = section.get("extract")
+        rule = {"allow": section["match"] if isinstance(section["match"], list) else [section["match"]], "deny": section.get("deny", []), "follow": section.get("follow", extract is None), "priority": section.get("priority", 0)}
+        rule |= {k: section[k] for k in ("restrict_css", "restrict_xpaths", "tags") if k in section}
+        if extract is None:
+            rule["callback"] = None
+        elif extract == "auto":
+            rule["callback"] = "parse_article"
+        elif isinstance(extract, dict) and extract.get("auto"):
+            mixed += 1
+            if mixed > 1:
+                raise ConfigError("more than one section mixes auto with fields")
+            rule["callback"] = "parse_article"
+            settings["FIELDS"] = {k: v for k, v in extract.items() if k != "auto"}
+        elif isinstance(extract, dict):
+            rule["callback"] = f"parse_section_{n}"
+            callbacks[rule["callback"]] = {"extract": extract}
+        else:
+            raise ConfigError(f"section {n}: extract is neither auto nor fields")
+        rules.append(rule)
+    return out | {"rules": rules, "callbacks": callbacks, "settings": settings}
+
+
+def validate(config: dict[str, Any]) -> list[str]:
+    """What is wrong with an expanded configuration; nothing if it compiles."""
+    bad: list[str] = []
+    known = {"name", "source_url", "allowed_domains", "start_urls", "rules", "settings", "callbacks", "project", "schema", "sections"}
+    bad += [f"unknown key {k}" for k in config if k not in known]
+    if not re.fullmatch(r"[a-zA-Z0-9_-]+", config.get("name", "")):
+        bad.append("name: letters, digits, _ and - only")
+    for d in config.get("allowed_domains", []):
+        if not re.fullmatch(r"(?!-)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", d):
+            bad.append(f"domain {d}")
+    for u in [*config.get("start_urls", []), *filter(None, [config.get("source_url")])]:
+        if not re.match(r"https?://[^/\s]+", u) or len(u) > 2048 or re.match(r"https?://(localhost|127\.|10\.|192\.168\.|169\.254\.|\[)", u):
+            bad.append(f"url {u}")
+    for i, rule in enumerate(config.get("rules", [])):
+        if not 0 <= rule.get("priority", 0) <= 1000:
+            bad.append(f"rule {i}: priority")
+        for p in [*rule.get("allow", []), *rule.get("deny", [])]:
+            try:
+                re.compile(p)
+            except re.error as e:
+                bad.append(f"rule {i}: {p}: {e}")
+        name = rule.get("callback")
+        if name and name != "parse_article" and name not in config.get("callbacks", {}):
+            bad.append(f"rule {i}: no callback {name}")
+    for name, callback in config.get("callbacks", {}).items():
+        if not name.isidentifier() or name in RESERVED:
+            bad.append(f"callback name {name}")
+        for f, directive in callback.get("extract", {}).items():
+            for step in directive.get("processors", []) if isinstance(directive, dict) else []:
+                if step.get("type") not in PROCESSORS:
+                    bad.append(f"{name}.{f}: processor {step.get('type')}")
+    for key, (low, high) in BOUNDS.items():
+        value = config.get("settings", {}).get(key)
+        if value is not None and not (isinstance(value, (int, float)) and low <= value <= high):
+            bad.append(f"setting {key}")
+    return bad
+
+
+def coverage(config: dict[str, Any], schema: list[dict[str, Any]]) -> list[str]:
+    """Required fields nobody fills: core fields come from the article parser, others
+    need a directive."""
+    given = {"url"} | set(config.get("settings", {}).get("FIELDS", {}))
+    for callback in config.get("callbacks", {}).values():
+        given |= set(callback.get("extract", {}))
+    if any(r.get("callback") == "parse_article" for r in config.get("rules", [])):
+        given |= set(CORE)
+    return [f["name"] for f in schema if f.get("required") and f["name"] not in given]
+
+
+def directive(value: Any) -> dict[str, Any]:
+    """A directive in its full form; a bare selector takes the matches' text."""
+    return {"css": value, "to_text": True} if isinstance(value, str) else value
+
+
+def records(pages: DataFrame, config: dict[str, Any], schema: list[dict[str, Any]] | None = None) -> DataFrame:
+    """Records of the pages (url, html) that a rule sends to a parser.
+
+    Route, parse each page once, run the processors, then keep what the project's
+    schema names; its fields that nobody fills are null. A directive that finds
+    nothing leaves a core field as the article parser found it."""
+    config = expand_sections(config)
+    if bad := validate(config):
+        raise ConfigError("; ".join(bad))
+    named = pages.withColumn("_callback", routed_by(F.col("url"), config["rules"])).where("_callback IS NOT NULL")
+    out: DataFrame | None = None
+    for name in ["parse_article", *config["callbacks"]]:
+        extract = config["settings"].get("FIELDS", {}) if name == "parse_article" else config["callbacks"][name]["extract"]
+        if not any(r.get("callback") == name for r in config["rules"]):
+            continue
+        fields = {f: directive(d) for f, d in extract.items()}
+        own = named.where(F.col("_callback") == name)
+        if fields:
+            own = own.withColumn("_x", html_pages.extract(F.col("html"), fields))
+        found = {f: _processed(F.col(f"_x.`{f}`"), d) for f, d in fields.items()}
+        if name == "parse_article":
+            own = own.withColumn("_a", html_pages.articles(F.col("html")))
+            base = {f: F.col(f"_a.{f}") for f in CORE}
+            found = base | {f: F.coalesce(c, base[f].cast("string")) if f in base else c for f, c in found.items()}
+        part = own.select("url", "_callback", *[c.alias(f) for f, c in found.items()])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return pages.select("url").where("false")
+    if schema is not None:
+        kept = [c for c in out.columns if c in BOOKKEEPING or c in {f["name"] for f in schema}]
+        out = out.select(*kept, *[F.lit(None).cast("string").alias(f["name"]) for f in schema if f["name"] not in out.columns])
+    return out
+
+
+def _processed(c: Column, d: dict[str, Any]) -> Column:
+    many = bool(d.get("get_all"))
+    if many:
+        c = F.from_json(c, "array<string>")
+    return processors.chain(c, d.get("processors", []), many)
+
+
+def from_context(url: Column, patterns: dict[str, str]) -> dict[str, Column]:
+    """Named values of single-group patterns over a URL; null without a match."""
+    return {n: F.when(url.rlike(processors.java_pattern(p)), F.regexp_extract(url, processors.java_pattern(p), 1)) for n, p in patterns.items()}
+
+
+def details(listing: DataFrame, pages: DataFrame, fields: list[str], context: dict[str, str] | None = None) -> DataFrame:
+    """Detail pages with the row of the listing that led to them; values from the URL
+    win over the listing's."""
+    rows = listing.where(F.col("follow_url").isNotNull() & (F.col("follow_url") != ""))
+    joined = pages.join(rows.select(F.col("follow_url").alias("url"), *fields), "url")
+    for name, c in from_context(F.col("url"), context or {}).items():
+        joined = joined.withColumn(name, F.coalesce(c, F.col(name)) if name in joined.columns else c)
+    return joined
