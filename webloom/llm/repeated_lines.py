@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import stored
+
 
 def line_keys(content: Column) -> Column:
     """The identifier of each line in order, null for lines without letters."""
@@ -100,21 +102,28 @@ def repeated_blocks(lines: DataFrame, common: DataFrame, source: str, least: int
     return weighed.groupBy(source, "first").applyInPandas(bucket, f"{source} {kind}, block ARRAY<BIGINT>, docs BIGINT")
 
 
-def repeated_positions(docs: DataFrame, source: str, key: str, content: str, least: int = 4, share: float = 0.1) -> DataFrame:
-    """(key, line_no INT): every line inside a block that the source repeats.
+def repeated(docs: DataFrame, source: str, key: str, content: str, least: int = 4, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(lines, found): the documents' lines as ``keyed``, and (source, _common) with
+    the lines of every block that spans ``least`` documents and ``share`` of them."""
+    lines = stored(keyed(docs, source, key, content), "lines")
+    totals = lines.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_docs"))
+    blocks = repeated_blocks(lines, common_lines(lines, source, least, share), source, least)
+    wide = blocks.join(totals, blocks[source].eqNullSafe(totals["_source"])).where(F.col("docs") >= share * F.col("_docs"))
+    found = wide.select(source, F.explode("block").alias("_line")).groupBy(source).agg(F.array_sort(F.collect_set("_line")).alias("_common"))
+    return lines, found
 
-    Each common line is itself a block of length one, so the lines of all blocks
-    are exactly the common lines; the positions come from the runs the suffix
-    arrays are built over."""
-    lines = keyed(docs, source, key, content)
-    runs = marked(lines, common_lines(lines, source, least, share), source)
+
+def repeated_positions(docs: DataFrame, source: str, key: str, content: str, least: int = 4, share: float = 0.1) -> DataFrame:
+    """(key, line_no INT): every line that belongs to a block its source repeats. A
+    common line is a block by itself, so no common line is left out."""
+    lines, found = repeated(docs, source, key, content, least, share)
+    runs = marked(lines, found, source)
     return runs.select(key, F.posexplode("_runs").alias("_at", "_line")).where(F.col("_line").isNotNull()).select(key, (F.col("_at") + 1).cast("int").alias("line_no"))
 
 
 def without_repeated(docs: DataFrame, source: str, key: str, content: str, least: int = 4, share: float = 0.1) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``content``; all rows stay."""
-    lines = keyed(docs, source, key, content)
-    common = common_lines(lines, source, least, share).withColumnRenamed(source, "_source")
+    common = repeated(docs, source, key, content, least, share)[1].withColumnRenamed(source, "_source")
     joined = docs.join(common, docs[source].eqNullSafe(common["_source"]), "left")
     text = F.split(content, "\n", -1)
     kept = F.transform(F.filter(F.arrays_zip(text.alias("text"), line_keys(F.col(content)).alias("line")), lambda x: ~F.coalesce(F.array_contains("_common", x["line"]), F.lit(False))), lambda x: x["text"])
