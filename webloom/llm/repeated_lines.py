@@ -68,7 +68,7 @@ def repeated_blocks(lines: DataFrame, common: DataFrame, source: str, least: int
 
     suffixes = F.expr(
         """transform(
-             filter(sequence(0, size(_runs) - 1), i -> _runs[i] IS NOT NULL AND NOT array_contains(slice(_runs, 1, i), _runs[i])),
+             filter(sequence(0, size(_runs) - 1), i -> _runs[i] IS NOT NULL AND NOT coalesce(array_contains(slice(_runs, 1, i), _runs[i]), false)),
              i -> slice(_runs, i + 1, coalesce(nullif(array_position(transform(slice(_runs, i + 1, size(_runs)), x -> x IS NULL), true), 0) - 1, size(_runs))))"""
     )
     every = runs.where(F.size("_runs") > 0).select(source, F.explode(suffixes).alias("suffix"))
