@@ -4,10 +4,10 @@ Three steps, all JVM expressions:
 
 1. ``parse_timestamps`` reads a string into local calendar fields and whatever
    zone the string itself names.
-2. ``zone_histories`` gives each source the offset history (an IANA zone) that
-   its zone-less strings follow. Candidates come from configuration or from a
-   bounded list; where a source has several, the one with the fewest violations
-   against the ingestion times wins (``estimate_zones``).
+2. Each source gets the offset history (an IANA zone) that its zone-less strings
+   follow. Candidates come from its settings, or, if wanted, from the zones in use
+   where it has none; of several the one with the fewest violations against the
+   ingestion times wins (``estimate_zones``).
 3. ``to_utc`` converts. Of two possible instants the earlier is taken; a date
    alone means its first moment.
 
@@ -197,34 +197,44 @@ def to_utc(df: DataFrame, zone: str, words: DataFrame, regions: list[str]) -> Da
 
 
 def site_settings(settings: DataFrame) -> DataFrame:
-    """(spider_id, _zone, _order) of each source; of repeated rows the last id holds."""
-    value = lambda key: F.max_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.col("id")))
-    return settings.where(F.col("key").isin("SITE_TIMEZONE", "DATE_ORDER")).groupBy("spider_id").agg(value("SITE_TIMEZONE").alias("_zone"), value("DATE_ORDER").alias("_order"))
+    """(spider_id, _zones, _order): the distinct zones a source's settings name, and
+    its order of all-numeric dates (of repeated rows the last id holds)."""
+    key = F.col("key")
+    order = F.max_by(F.when(key == "DATE_ORDER", F.col("value")), F.when(key == "DATE_ORDER", F.col("id")))
+    zones = F.array_sort(F.collect_set(F.when(key == "SITE_TIMEZONE", F.col("value"))))
+    return settings.where(key.isin("SITE_TIMEZONE", "DATE_ORDER")).groupBy("spider_id").agg(zones.alias("_zones"), order.alias("_order"))
 
 
-def normalise_published(rows: DataFrame, settings: DataFrame, text: str = "published_date", source: str = "spider_id", ingested: str | None = None) -> DataFrame:
+def normalise_published(rows: DataFrame, settings: DataFrame, text: str = "published_date", source: str = "spider_id", ingested: str | None = None, guess: bool = False) -> DataFrame:
     """``rows`` with ``utc``: the whole operator.
 
-    A source's history is the one its settings name. Where they name none it is
-    UTC, or, when ``ingested`` is given, the candidate that ``estimate_zones``
-    finds among all zones the settings of any source name.
+    A source's candidates are the zones its settings name. One needs no choice; of
+    several the column ``ingested`` decides (without it the first by name). A
+    source without any is in UTC, or with ``guess`` in the zone of all those in use
+    that its ingestion times fit best.
     """
     spark = rows.sparkSession
     regions = known_zones(spark)
-    sites = site_settings(settings)
+    sites = site_settings(settings).withColumnRenamed("spider_id", source)
+    sites = sites.withColumn("_zones", F.filter("_zones", lambda z: z.isin(regions)))
     # At most as many rows as there are IANA zones.
-    named = [r[0] for r in sites.where(F.col("_zone").isin(regions)).select("_zone").distinct().collect()]
-    sites = sites.withColumn("_zone", F.when(F.col("_zone").isin(regions), F.col("_zone")))
-    parsed = rows.join(sites.withColumnRenamed("spider_id", source), source, "left")
-    parsed = parse_timestamps(parsed, text, "_order")
+    named = sorted({"UTC", *(r[0] for r in sites.select(F.explode("_zones")).distinct().collect())})
+    every = F.array(*[F.lit(z) for z in named])
+    parsed = parse_timestamps(rows.join(sites, source, "left"), text, "_order")
+    choice = F.get("_zones", F.lit(0))
     if ingested is not None:
-        free = parsed.where(F.col("_zone").isNull() & F.col("_free"))
-        every = F.array(*[F.lit(z) for z in sorted({*named, "UTC"})])
-        candidates = free.select(source).distinct().withColumn("_zone", F.explode(every))
+        open_ = F.size("_zones") > 1
+        wanted = F.when(open_, F.col("_zones"))
+        if guess:
+            open_ = open_ | (F.coalesce(F.size("_zones"), F.lit(0)) <= 0)
+            wanted = F.coalesce(wanted, every)
+        free = parsed.where(open_ & F.col("_free"))
+        candidates = free.select(source, wanted.alias("_c")).distinct().select(source, F.explode("_c").alias("_zone"))
         found = estimate_zones(free, source, "_local", ingested, candidates)
-        parsed = parsed.join(found.select(source, F.col("_zone").alias("_found")), source, "left").withColumn("_zone", F.coalesce("_zone", "_found")).drop("_found")
-    parsed = parsed.withColumn("_zone", F.coalesce("_zone", F.lit("UTC")))
-    out = to_utc(parsed, "_zone", abbreviations(spark, sorted({*named, "UTC"})), regions)
+        parsed = parsed.join(found.select(source, F.col("_zone").alias("_found")), source, "left")
+        choice = F.coalesce("_found", choice)
+    parsed = parsed.withColumn("_zone", F.coalesce(choice, F.lit("UTC")))
+    out = to_utc(parsed, "_zone", abbreviations(spark, named), regions)
     return out.select(*rows.columns, "utc")
 
 

@@ -16,25 +16,23 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row that names a definite instant, with it in UTC. The settings fix
-    each source's offset history (UTC where they name none), so the choice among
-    histories has one candidate a source here; p1_zone_histories makes it freely."""
+    """Every row that names a definite instant, with it in UTC. The settings name the
+    candidates for each source's offset history (UTC where they name none); where
+    they name several, ingestion times decide. p1_zone_histories chooses freely."""
     rows = _rows(spark, sf_dir).where(F.col("published_date").isNotNull())
-    out = ts.normalise_published(rows, table(spark, sf_dir, "spider_settings"))
+    out = ts.normalise_published(rows, table(spark, sf_dir, "spider_settings"), ingested="scraped_at")
     return out.where(F.col("utc").isNotNull()).select("tbl", "id", "utc").distinct()
 
 
 def p1_zone_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every spider the zone its zone-less strings fit best, beside the
     configured one: found from ingestion times alone, among the zones in use."""
-    settings = ts.site_settings(table(spark, sf_dir, "spider_settings"))
-    zones = [r[0] for r in settings.select("_zone").where("_zone IS NOT NULL").distinct().collect()]
-    rows = _rows(spark, sf_dir).join(settings.select("spider_id", "_order", F.col("_zone").alias("configured")), "spider_id")
-    parsed = ts.parse_timestamps(rows, "published_date", "_order")
+    settings = ts.site_settings(table(spark, sf_dir, "spider_settings")).select("spider_id", "_order", F.coalesce(F.get("_zones", F.lit(0)), F.lit("UTC")).alias("configured"))
+    zones = sorted({"UTC", *(r[0] for r in settings.select("configured").distinct().collect())})
+    parsed = ts.parse_timestamps(_rows(spark, sf_dir).join(settings, "spider_id"), "published_date", "_order")
     free = parsed.where("_free")
-    every = F.array(*[F.lit(z) for z in sorted({*zones, "UTC"})])
-    found = ts.estimate_zones(free, "spider_id", "_local", "scraped_at", free.select("spider_id").distinct().withColumn("_zone", F.explode(every)))
-    found = found.join(settings.select("spider_id", F.coalesce("_zone", F.lit("UTC")).alias("configured")), "spider_id")
+    candidates = free.select("spider_id").distinct().withColumn("_zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    found = ts.estimate_zones(free, "spider_id", "_local", "scraped_at", candidates).join(settings, "spider_id")
     return found.select("spider_id", "configured", F.col("_zone").alias("estimated"), "rows", "violations", "support")
 
 
