@@ -94,7 +94,7 @@ def css(root: Node, selector: str) -> list[str]:
     return out
 
 
-_AXIS = re.compile(r"(//|/|^)(?:(following-sibling|descendant|child|parent)::)?(\*|[\w-]+|\.\.|\.|@[\w-]+|text\(\))((?:\[[^\]]*\])*)")
+_AXIS = re.compile(r"(//|/|^)(?:(following-sibling|descendant|child|parent)::)?(text\(\)|\*|[\w-]+|\.\.|\.|@[\w-]+)((?:\[[^\]]*\])*)")
 
 
 def xpath(root: Node, path: str) -> list[str]:

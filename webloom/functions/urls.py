@@ -81,9 +81,9 @@ def absolute(base: Column, link: Column) -> Column:
         .when(link.startswith("//") & ~link.contains("/."), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/") & ~link.contains("/."), F.concat(scheme, F.lit("://"), netloc(base), link))
     )
-    return F.coalesce(simple, F.when(simple.isNull(), _joined(base, link)))
 
+    @F.pandas_udf("string")
+    def joined(base: pd.Series, link: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link)], dtype=object)
 
-@F.pandas_udf("string")
-def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link)])
+    return F.coalesce(simple, F.when(simple.isNull(), joined(base, link)))

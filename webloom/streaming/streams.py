@@ -45,7 +45,7 @@ def block_learning(stream: DataFrame, domain: str, blocked: str) -> DataFrame:
     ``failed`` (blocked through the proxy)."""
     from pyspark.sql.types import BooleanType, StructType
 
-    schema = StructType(stream.schema.fields).add("via_proxy", BooleanType()).add("failed", BooleanType())
+    schema = StructType(list(stream.schema.fields)).add("via_proxy", BooleanType()).add("failed", BooleanType())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.exists and state.get[0]
