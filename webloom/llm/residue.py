@@ -53,7 +53,7 @@ ABOUT = re.compile(
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_LATIN_KEYS = ("adipiscing", "eiusmod", "incididunt", "nostrud", "exercitation", "ullamco", "reprehenderit", "voluptate", "cillum", "consectetur", "lorem")
+_LATIN_KEYS = ("adipiscing", "eiusmod", "incididunt", "nostrud", "exercitation", "ullamco", "reprehenderit", "voluptate", "cillum", "consectetur", "lorem", "dolor", "aliqua", "veniam", "minim ", "pariatur", "fugiat", "labor", "ipsum")
 
 # Stock sentences of servers, programs, access checks, script notices and
 # editors' dummy text. They count as a whole line or sentence.
