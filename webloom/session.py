@@ -48,11 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables this process wrote with ``stored``; results that were not
+    yet read depend on them."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there,
     so a lost executor costs a re-read, and readers share one computation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
