@@ -137,6 +137,9 @@ def label_lines(text: str, stops: frozenset[str]) -> list[bool | None]:
             label[n] = right if left is None else left[0]
             if label[n] and left is None and size[n] <= 2:
                 label[n] = False
+            # A subheading between two notes still has body before and after it.
+            if not label[n] and size[n] > 3 and any(x is True for x in label[:n]) and any(x is True for x in label[n + 1 :]):
+                label[n] = True
         else:  # between body and furniture
             label[n] = size[n] > 3 or any(c.isdigit() for c in lines[full[n]])
     out: list[bool | None] = [None] * len(lines)

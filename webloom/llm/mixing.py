@@ -5,7 +5,7 @@ targets' weights. A node that cannot use its share (its texts times their allowe
 repeats are too few) is filled, and the rest goes to its siblings by their
 weights; only what all of them cannot use rises to the next ancestor. Each
 source's budget is then taken from seeded epochs: whole passes over its texts in
-seeded order, and of the last pass the longest prefix within the budget.
+seeded order, and of the last pass the prefix whose tokens come nearest to the rest.
 
 Prefixes are found by tokens per hash bucket first and by single texts only
 within the bucket where the budget ends, so a source with a third of all rows is
@@ -111,7 +111,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     edge = (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_in") > F.col("_rest"))
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     whole = placed.where(~edge).withColumn("_last", F.col("_before") + F.col("_in") <= F.col("_rest"))
-    cut = placed.where(edge).withColumn("_last", F.col("_before") + F.sum("n_tokens").over(inside) <= F.col("_rest"))
+    cut = placed.where(edge).withColumn("_last", F.col("_before") + F.sum("n_tokens").over(inside) - F.col("n_tokens") / 2 <= F.col("_rest"))
     drawn = whole.unionByName(cut).select("doc_id", "source", "n_tokens", (F.col("_passes") + F.col("_last").cast("int")).cast("int").alias("repeats"))
     return drawn.where("repeats > 0"), leaves
 
