@@ -74,6 +74,10 @@ def test_html():
     assert pages.pdf_links(root, "https://a.example/") == [{"url": "https://a.example/d.pdf?x", "title": "d.pdf"}]
     assert pages.media(root)["images"] == [{"src": "i.png", "alt": ""}]
     assert pages.found_by_text(root, "P2")[0]["text"] == "P2"
+    assert pages.found_by_keyword(root, "price") == [{"selector": "span.price", "text": "$10"}, {"selector": "span.price", "text": "$20"}]
+    assert pages.structure(root)["h1"] == ["Head"]
+    assert pages.first_accepted(root, ["custom", "strict"], selectors_={"title": "h9", "content": "h9"})["title"] == "Head"
+    assert pages.first_accepted(dom.parse("<p>"), ["strict", "text"]) is None
 
 
 @given(st.text(alphabet="<>/ab=\"' &;!-pdiv", max_size=200))
@@ -108,6 +112,14 @@ def test_routing_and_lanes(spark):
     assert [(r.lane, r.opened) for r in got] == [(0, True), (1, True), (0, False), (1, True), (0, True)]
 
 
+def test_fleet(spark):
+    assert stats.parallel_degree(4000, 8, 3, 1) == 8 and stats.parallel_degree(300, 8, 0, 5) == 2
+    verdicts = spark.createDataFrame([(1, 5, "passed"), (2, 1, "crawling")], "spider_id INT, items INT, verdict STRING")
+    report = stats.health_report(verdicts)
+    assert report.index("- 2: crawling") < report.index("- 1: passed")
+    assert one(spark, ["https://web.archive.org/web/20240131123456/https://www.a.example/x", "https://a.example"], urls.archived) == [("20240131", "a.example"), (None, None)]
+
+
 def test_store(spark):
     with pytest.raises(ValueError):
         store.checked_sql(spark, "DROP TABLE x")

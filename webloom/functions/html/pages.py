@@ -257,3 +257,46 @@ def selector_for(node: Node) -> str:
     if node.attrs.get("id"):
         return f"{node.tag}#{node.attrs['id']}"
     return ".".join([node.tag, *node.classes])
+
+
+def found_by_keyword(root: Node, keyword: str, limit: int = 10) -> list[dict[str, str]]:
+    """Elements below 200 characters whose class or id holds a keyword."""
+    want = keyword.lower()
+    out = []
+    for n in root.walk():
+        name = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower()
+        text = re.sub(r"\s+", " ", n.text()).strip()
+        if want in name and text and len(text) < 200:
+            out.append({"selector": selector_for(n), "text": text})
+    return out[:limit]
+
+
+def structure(root: Node) -> dict[str, Any]:
+    """What a page offers to selectors: headings, the largest containers, dates, authors."""
+    nodes = list(root.walk())
+    text = {id(n): re.sub(r"\s+", " ", n.text()).strip() for n in nodes}
+    named = lambda n, *words: any(w in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower() for w in words)
+    containers = [n for n in nodes if (n.tag in ("article", "main") or named(n, "content", "article", "body", "post", "text")) and len(text[id(n)]) > 200]
+    return {
+        "h1": [text[id(n)] for n in nodes if n.tag == "h1"][:5],
+        "h2": [text[id(n)] for n in nodes if n.tag == "h2"][:5],
+        "containers": [{"selector": selector_for(n), "characters": len(text[id(n)])} for n in sorted(containers, key=lambda n: -len(text[id(n)]))[:5]],
+        "dates": [{"selector": selector_for(n), "text": text[id(n)]} for n in nodes if (n.tag == "time" or named(n, "date", "time", "publish")) and 0 < len(text[id(n)]) < 50][:5],
+        "authors": [{"selector": selector_for(n), "text": text[id(n)]} for n in nodes if named(n, "author", "byline") and 0 < len(text[id(n)]) < 100][:5],
+    }
+
+
+def first_accepted(root: Node, order: list[str], hint: str | None = None, selectors_: dict[str, str] | None = None) -> dict[str, Any] | None:
+    """The first strategy whose record is accepted: ``strict`` needs title and text,
+    ``text`` needs text, ``custom`` takes selectors and needs both."""
+    for name in order:
+        if name == "custom":
+            if not selectors_:
+                continue
+            got = {f: to_text(root, s) for f, s in selectors_.items()}
+            got = {"title": got.get("title") or hint, "content": got.get("content"), "author": got.get("author") or meta_author(root), "published_date": meta_date(root)} | {k: v for k, v in got.items() if k not in ("title", "content", "author")}
+        else:
+            got = article(root, hint)
+        if got["content"] and (got["title"] or name == "text"):
+            return got | {"title": got["title"] or ""}
+    return None

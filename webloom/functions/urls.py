@@ -64,6 +64,13 @@ def within(host: Column, domains: Column) -> Column:
     return F.exists(domains, lambda d: (host == F.lower(d)) | host.endswith(F.concat(F.lit("."), F.lower(d))))
 
 
+def archived(url: Column) -> Column:
+    """(day, site) of an archived copy's URL, nulls for others."""
+    pattern = r"/web/(\d{8})\d*[a-z_]*/(?:https?:?/+)?(?:www\.)?([^/?#]+)"
+    part = lambda n: F.nullif(F.regexp_extract(url, pattern, n), F.lit(""))
+    return F.struct(part(1).alias("day"), part(2).alias("site"))
+
+
 def fetchable(url: Column) -> Column:
     """http(s), a host that is no private or local literal, at most 2048 characters.
     Names are not resolved."""

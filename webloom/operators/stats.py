@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls
 from webloom.functions.processors import strip
+from webloom.session import stored
 
 
 def crawl_stats(items: DataFrame, by: str = "spider_id") -> DataFrame:
@@ -114,15 +115,17 @@ def lanes(log: DataFrame, pool: str, order: str, domain: str, session: str, size
 
 def comment_tree(comments: DataFrame, key: str = "id", parent: str = "parent_id", depth: int = 30) -> DataFrame:
     """(key, parent, depth): an unknown, zero or null parent makes a root. Levels
-    are joined one after the other until one is empty."""
+    are joined one after the other until one is empty; each is written to the
+    shared folder, so none is computed again for the next."""
     ids = comments.select(F.col(key).alias("_p"))
     known = comments.join(ids, (comments[parent] == ids["_p"]) & (comments[parent] != 0), "left").select(key, F.col("_p").alias(parent))
     level = known.where(f"{parent} IS NULL").select(key, parent, F.lit(0).alias("depth"))
-    rest = known.where(f"{parent} IS NOT NULL")
+    rest = stored(known.where(f"{parent} IS NOT NULL"), "comments")
+    level = stored(level, "level")
     out = level
     for d in range(1, depth):
         above = level.select(F.col(key).alias("_a"))
-        level = rest.join(above, rest[parent] == above["_a"]).select(key, parent, F.lit(d).alias("depth"))
+        level = stored(rest.join(above, rest[parent] == above["_a"]).select(key, parent, F.lit(d).alias("depth")), "level")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -134,3 +137,22 @@ def nested_replies(comments: DataFrame, key: str = "id", parent: str = "parent_i
     are one array, as the result asks."""
     kids = comments.where(F.col(parent) != 0).groupBy(F.col(parent).alias("_p")).agg(F.array_sort(F.collect_list(key)).alias("replies"))
     return comments.join(kids, comments[key] == kids["_p"], "left").select(key, F.coalesce("replies", F.array().cast("array<bigint>")).alias("replies"))
+
+
+def parallel_degree(memory_mb: int, cores: int, plain: int, rendered: int) -> int:
+    """How many crawls fit: by memory (200 MB a plain crawl, 500 a rendered one, on
+    average) and by cores, between 2 and 20."""
+    each = (plain * 200 + rendered * 500) // max(plain + rendered, 1) or 200
+    return max(2, min(20, memory_mb // each, cores))
+
+
+def health_report(verdicts: DataFrame, most: int = 1000) -> str:
+    """Markdown of ``health``'s verdicts, failures first; at most ``most`` spiders are
+    listed, the counts cover all."""
+    counts = {r[0]: r[1] for r in verdicts.groupBy("verdict").count().collect()}
+    rows = verdicts.orderBy(F.col("verdict") == "passed", "spider_id").limit(most).collect()
+    lines = ["# Health", "", ", ".join(f"{n} {v}" for v, n in sorted(counts.items())), ""]
+    for title, test in (("Failed", False), ("Passed", True)):
+        own = [r for r in rows if (r.verdict == "passed") == test]
+        lines += [f"## {title}", "", *[f"- {r.spider_id}: {r.verdict}, {r.items} items" for r in own], ""]
+    return "\n".join(lines)
