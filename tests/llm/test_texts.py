@@ -33,6 +33,13 @@ def test_residue(spark):
     assert [k for k, _ in residue.find_residue("Sample page", True)] == ["title"]
 
 
+def test_residue_screen_is_a_superset():
+    lines = ["Warning: Division by zero in /srv/a.php on line 12", "Exception (code 7)", "Fatal error: " + "x" * 300, "text " * 60, "text, text, text, text", "   NaN" + " " * 30, "Ut enim ad quis nisi ut."]
+    for line in lines:
+        assert residue.residue_line(line) and residue.find_residue(line) and residue.may_hold(line), line
+    assert residue.find_residue("[insert " + "a long hint " * 20 + "]") and residue.find_residue("<% " + "call " * 40 + "%>")
+
+
 PAGE = """Home
 Sport
 Weather

@@ -21,25 +21,25 @@ from pyspark.sql import DataFrame
 
 #: Opening characters, then the grammar of a whole placeholder in that delimiter.
 GRAMMARS = [
-    ("mustache", "{{", re.compile(r"\{\{\{?\s*[#/^&>!]?\s*[A-Za-z_][\w.\-|:'\" ]{0,60}\}\}")),
-    ("block tag", "{%", re.compile(r"\{%-?\s*[A-Za-z][^%\n]{0,80}%\}")),
+    ("mustache", "{{", re.compile(r"\{\{\{?\s*[#/^&>!]?\s*[A-Za-z_][\w.\-|:'\" ]*\}\}")),
+    ("block tag", "{%", re.compile(r"\{%-?\s*[A-Za-z][^%\n]*%\}")),
     ("dollar brace", "${", re.compile(r"\$\{[A-Za-z_][\w.]*\}")),
     ("hash brace", "#{", re.compile(r"#\{[A-Za-z_@][\w.]*\}")),
     ("bang brace", "{!", re.compile(r"\{![A-Za-z_$][\w.]*\}")),
-    ("embedded code", "<%", re.compile(r"<%[=#@-]?\s*[^%\n]{1,80}%>")),
-    ("processing instruction", "<?", re.compile(r"<\?(?:php|=)[^\n]{0,120}?\?>")),
+    ("embedded code", "<%", re.compile(r"<%[=#@-]?\s*[^%\n]+%>")),
+    ("processing instruction", "<?", re.compile(r"<\?(?:php|=)[^\n]*?\?>")),
     ("double percent", "%%", re.compile(r"%%[A-Za-z_][\w.]*%%")),
     ("double at", "@@", re.compile(r"@@[A-Za-z_][\w.]*@@")),
     ("double underscore", "__", re.compile(r"(?<!\w)__[A-Za-z][\w.]*?__(?!\w)")),
     ("merge tag", "*|", re.compile(r"\*\|[A-Za-z_][\w.:]*\|\*")),
     ("double bracket", "[[", re.compile(r"\[\[\s*[A-Za-z_][\w. ]*\]\]")),
     ("named brace", "{", re.compile(r"(?<![{$#!\w])\{[A-Za-z]+(?:[_.][A-Za-z]+)+\}(?!\})")),
-    ("instruction", "[", re.compile(r"\[(?:insert|your|add|enter|name of|image|photo|caption|headline|title|placeholder)\b[^\]\n]{0,60}\]", re.I)),
-    ("instruction", "<<", re.compile(r"<<\s*(?:add|insert|enter|your|todo)\b[^>\n]{0,60}>>", re.I)),
-    ("instruction", "(", re.compile(r"\((?:placeholder|dummy)\b[^)\n]{0,80}\)", re.I)),
-    ("note", "TODO", re.compile(r"\bTODO\s*[:-]\s*\w+[^.\n]{0,40}")),
+    ("instruction", "[", re.compile(r"\[(?:insert|your|add|enter|name of|image|photo|caption|headline|title|placeholder)\b[^\]\n]*\]", re.I)),
+    ("instruction", "<<", re.compile(r"<<\s*(?:add|insert|enter|your|todo)\b[^>\n]*>>", re.I)),
+    ("instruction", "(", re.compile(r"\((?:placeholder|dummy)\b[^)\n]*\)", re.I)),
+    ("note", "TODO", re.compile(r"\bTODO\s*[:-]\s*\w+[^.\n]*")),
     ("note", "TK", re.compile(r"\bTK(?:\s+TK)+\b")),
-    ("note", "XXX", re.compile(r"\bXXX\b[^\n]{0,60}\bXXX\b")),
+    ("note", "XXX", re.compile(r"\bXXX\b[^\n]*?\bXXX\b")),
     ("note", "goes here", re.compile(r"\b(?:title|headline|text|name|caption|content|copy)\s+goes\s+here\b", re.I)),
 ]
 
@@ -53,7 +53,6 @@ ABOUT = re.compile(
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_LATIN_KEYS = ("adipiscing", "eiusmod", "incididunt", "nostrud", "exercitation", "ullamco", "reprehenderit", "voluptate", "cillum", "consectetur", "lorem", "dolor", "aliqua", "veniam", "minim ", "pariatur", "fugiat", "labor", "ipsum")
 
 # Stock sentences of servers, programs, access checks, script notices and
 # editors' dummy text. They count as a whole line or sentence.
@@ -146,13 +145,13 @@ _NOTICE_KEYS = tuple(sorted({" ".join(n.split()[-2:]) for n in NOTICES}))
 # What programs print in place of a text, as a whole line.
 LINES = frozenset(["undefined", "nan", "null", "null null", "[object object]", "noscript", "loading…", "loading...", "just a moment", "just a moment..."])
 TITLES = LINES | frozenset(["lorem ipsum", "sample page", "draft copy", "hello world", "new page", "untitled"])
-_PROGRAM = re.compile(r"^(?:fatal error|traceback|warning|uncaught \w+|exception)\s*[:(].{0,120}$|^warning: \w+\([^)]*\).*$", re.I)
-_PROGRAM_KEYS = ("fatal error", "traceback", "failed to open", "uncaught ", "exception:")
+_PROGRAM = re.compile(r"^(?:fatal error|traceback|warning|uncaught \w+|exception)\s*[:(].*$|^warning: \w+\([^)]*\).*$", re.I)
+_PROGRAM_KEYS = ("fatal error", "traceback", "warning", "uncaught ", "exception")
 _REPEAT = re.compile(r"^\W*(\w{2,})(?:\W+\1){3,}\W*$", re.I)
 _STATUS = re.compile(r"^(?:http |error |fehler |erreur )?[45]\d\d[\s:–-]+", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-_KEYS = (*_NOTICE_KEYS, *_LATIN_KEYS, *_PROGRAM_KEYS)
+_KEYS = (*_NOTICE_KEYS, *_PROGRAM_KEYS)
 _OPENERS = tuple(dict.fromkeys(o for _, o, _ in GRAMMARS if o not in ("(", "[", "{")))
 
 
@@ -208,9 +207,16 @@ def _may_place(text: str, low: str) -> bool:
     return any(o in text for o in _OPENERS) or "[" in text or "{" in text or "(placeholder" in low or "(dummy" in low or "goes here" in low
 
 
+def _may_fill(low: str) -> bool:
+    """Whether two dummy-Latin words stand next to each other or but for one word;
+    where they are 0.6 of four words or more, some do."""
+    known = [w in LATIN for w in _WORD.findall(low)]
+    return any(x and (y or z) for x, y, z in zip(known, known[1:], [*known[2:], False]))
+
+
 def _may_stand(low: str, lines: list[str]) -> bool:
-    """Whether some whole line or sentence can be residue; a cheap screen."""
-    return any(k in low for k in _KEYS) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines if len(x) < 24 or (len(x) < 120 and x.split(" ", 1)[0] + " " in x[1:]))
+    """False only if no whole line or sentence is residue; a cheap screen."""
+    return any(k in low for k in _KEYS) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines) or _may_fill(low)
 
 
 def may_hold(text: str) -> bool:
