@@ -40,6 +40,15 @@ def test_residue_screen_is_a_superset():
     assert residue.find_residue("[insert " + "a long hint " * 20 + "]") and residue.find_residue("<% " + "call " * 40 + "%>")
 
 
+def test_notices_in_other_wording():
+    found = ["404 Not Found", "403 Forbidden", "Error 503: Service Unavailable", "Access denied", "Access to this page has been denied.", "You need to enable JavaScript to run this app.", "JavaScript is disabled in your browser.", "Checking your browser before accessing", "The requested URL was not found on this server.", "Bitte aktivieren Sie JavaScript in Ihrem Browser.", "Veuillez activer JavaScript pour continuer.", "Habilite JavaScript para continuar", "Ihr Browser wird überprüft", "403 Verboten"]
+    for line in found:
+        assert residue.find_residue("Real text of the town.\n" + line), line
+    clean = ["Forbidden", "Not found", "The court found that access was denied to reporters.", "The app works without JavaScript.", "The page of history has been turned.", "404 not found guilty by the jury", "Police are checking your browser history, the lawyer said.", "Scripts are a matter of taste, the actor said."]
+    for line in clean:
+        assert not residue.find_residue(line), line
+
+
 PAGE = """Home
 Sport
 Weather

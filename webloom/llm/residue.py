@@ -142,6 +142,36 @@ _NOTICES = frozenset(NOTICES)
 #: The longest words of each notice let most texts pass after a plain substring search.
 _NOTICE_KEYS = tuple(sorted({" ".join(n.split()[-2:]) for n in NOTICES}))
 
+# Parts of notices, as whole sentences: a status that a code precedes, a page
+# that is missing, a refusal, a request to switch scripts on, a check of the browser.
+_CODED = re.compile(
+    r"^(?:http(?:/[\d.]+)? |error |fehler |erreur |errore |erro |fout |błąd |ошибка )*[45]\d\d[\s:–-]+(?:error[\s:–-]+)?(?:not found|forbidden|unauthorized|access denied|bad request|payment required|method not allowed|not acceptable|request time-?out|gone|service (?:temporarily )?unavailable|bad gateway|gateway time-?out|internal (?:server )?error|too many requests|nicht gefunden|verboten|introuvable|interdit|no encontrad[oa]|prohibido|não encontrad[oa]|proibido|non trovat[oa]|vietato|niet gevonden|verboden|nie znaleziono|zabronione|не найден[ао]?|запрещено)$"
+)
+_SCRIPT = r"(?:(?:java ?)?scripts?|cookies|js)"
+_GOAL = r"(?:,? (?:to|in order to|and|um|damit|pour|afin|para|per|om|aby|żeby|чтобы|для|und|et|y|e|en|i|и)\b.*)?"
+_WHERE = r"(?:,? (?:in|on|dans|en|no|nel|sur|w|в) (?:your|the|ihrem|votre|su|tu|seu|tuo|suo|uw|je|twojej|swojej|вашем|своём|своем)? ?(?:web )?(?:browser|navigateur|navegador|przeglądarce|браузере))?"
+_PARTS = [
+    re.compile(p)
+    for p in (
+        r"(?:sorry,? |oops,? )?(?:the |this |that )?(?:requested )?(?:page|url|file|resource|document)(?: (?:that )?(?:you(?:'re|’re| are| were)? (?:requested|looking for|trying to (?:reach|access))))? (?:was not found|not found|could not be found|cannot be found|can(?:'|’)t be found|is not available|does not exist|doesn(?:'|’)t exist|no longer exists|has been (?:moved|removed|deleted))(?: on this server)?",
+        r"(?:sorry,? )?(?:your )?(?:access|permission)(?: to (?:this|the requested) \w+)?(?: is| was| has been)? (?:denied|forbidden|blocked)|you (?:do not|don(?:'|’)t) have (?:permission|access)(?: to .*)?|you have been blocked",
+        r"(?:der )?(?:zugriff|zugang)(?: auf diese \w+)?(?: wurde| ist)? (?:verweigert|gesperrt|verboten)|(?:l(?:'|’))?accès(?: à cette \w+)?(?: est| a été)? (?:refusé|interdit)|(?:el )?acceso(?: a esta \w+)?(?: está| ha sido)? (?:denegado|prohibido)|(?:o )?acesso(?: a esta \w+)?(?: foi| está)? (?:negado|proibido)|(?:l(?:'|’))?accesso(?: a questa \w+)?(?: è| è stato)? (?:negato|vietato)|(?:de )?toegang(?: tot deze \w+)?(?: is| werd)? (?:geweigerd|verboden)|(?:odmowa|brak) dostępu|dostęp (?:zabroniony|zablokowany)|доступ (?:запрещ[её]н|закрыт)",
+        r"(?:sorry,? )?(?:you(?:(?:'|’)ll)? (?:need to|must|have to) |please )?(?:enable|activate|turn on|switch on|allow) " + _SCRIPT + r"(?: and " + _SCRIPT + r")?" + _WHERE + _GOAL,
+        _SCRIPT + r" (?:is|are|seems to be|must be|needs to be) (?:disabled|required|turned off|not enabled|enabled|not available)" + _WHERE + _GOAL,
+        r"(?:this|the) (?:page|site|website|app|application) (?:requires|needs) " + _SCRIPT + r"(?: to .*)?",
+        r"(?:bitte )?aktivieren sie (?:bitte )?" + _SCRIPT + _WHERE + _GOAL + r"|" + _SCRIPT + r" (?:ist|sind) (?:deaktiviert|erforderlich)" + _WHERE,
+        r"(?:veuillez |vous devez )?(?:activer|activez|autoriser|autorisez) " + _SCRIPT + _WHERE + _GOAL,
+        r"(?:por favor,? |debes? |debe )?(?:activar?|active|activa|habilit[ae]r?|ative|ativar) (?:o |el )?" + _SCRIPT + _WHERE + _GOAL,
+        r"(?:è necessario |si prega di )?(?:attiva|attivare|abilita|abilitare) " + _SCRIPT + _WHERE + _GOAL,
+        r"(?:schakel|zet) " + _SCRIPT + r" (?:in|aan)" + _WHERE + _GOAL + r"|(?:proszę )?włącz(?:yć)? (?:obsługę )?" + _SCRIPT + _WHERE + _GOAL + r"|(?:пожалуйста,? )?включите " + _SCRIPT + _WHERE + _GOAL,
+        r"(?:please wait,? )?(?:while )?(?:we are |we're |we’re )?(?:checking|verifying) (?:that |if |whether )?(?:your browser|your connection|the security of your connection|you are (?:a )?human)\b.*|(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?(?:human|not a robot)",
+        r"(?:ihr|der) browser wird (?:überprüft|geprüft).*|vérification de votre navigateur.*|comprobando (?:su|tu) navegador.*|verificando (?:o )?seu navegador.*|(?:verifica|controllo) del (?:tuo |suo )?browser.*|(?:uw|je) browser wordt gecontroleerd.*|sprawdzanie (?:twojej )?przeglądarki.*|проверка (?:вашего )?браузера.*",
+    )
+]
+#: Every sentence that fits some part holds one of these.
+_PART_KEYS = ("page", "url", "file", "resource", "document", "access", "permission", "blocked", "zugriff", "zugang", "accès", "acceso", "acesso", "toegang", "dostęp", "доступ", "script", "cookies", "js", "browser", "connection", "human", "robot", "navigateur", "navegador", "przeglądark", "браузер")
+_CODE = re.compile(r"[45]\d\d[\s:–-]")
+
 # What programs print in place of a text, as a whole line.
 LINES = frozenset(["undefined", "nan", "null", "null null", "[object object]", "noscript", "loading…", "loading...", "just a moment", "just a moment..."])
 TITLES = LINES | frozenset(["lorem ipsum", "sample page", "draft copy", "hello world", "new page", "untitled"])
@@ -151,7 +181,7 @@ _REPEAT = re.compile(r"^\W*(\w{2,})(?:\W+\1){3,}\W*$", re.I)
 _STATUS = re.compile(r"^(?:http |error |fehler |erreur )?[45]\d\d[\s:–-]+", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-_KEYS = (*_NOTICE_KEYS, *_PROGRAM_KEYS)
+_KEYS = (*_NOTICE_KEYS, *_PROGRAM_KEYS, *_PART_KEYS)
 _OPENERS = tuple(dict.fromkeys(o for _, o, _ in GRAMMARS if o not in ("(", "[", "{")))
 
 
@@ -164,6 +194,19 @@ def _filler(sentence: str) -> bool:
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words)
 
 
+def _notice(sentence: str) -> bool:
+    """A known sentence, or a short one made of a notice's parts that does not talk
+    about templates."""
+    plain = _plain(sentence)
+    if plain in _NOTICES:
+        return True
+    if len(plain.split()) > 20:
+        return False
+    low = sentence.strip(" \t\r.!:–-…\"'“”„»«*>[]#").lower()
+    fits = _CODE.search(low) and _CODED.match(low) or any(k in plain for k in _PART_KEYS) and any(p.fullmatch(plain) for p in _PARTS)
+    return bool(fits) and not ABOUT.search(sentence)
+
+
 def residue_line(line: str) -> str | None:
     """What kind of residue a whole line is, or holds as a whole sentence."""
     low = line.strip().lower()
@@ -174,7 +217,7 @@ def residue_line(line: str) -> str | None:
     if _REPEAT.match(low):
         return "filler"
     for sentence in _SENTENCE.split(line.strip()):
-        if _plain(sentence) in _NOTICES:
+        if _notice(sentence):
             return "notice"
         if _filler(sentence):
             return "filler"
@@ -216,7 +259,7 @@ def _may_fill(low: str) -> bool:
 
 def _may_stand(low: str, lines: list[str]) -> bool:
     """False only if no whole line or sentence is residue; a cheap screen."""
-    return any(k in low for k in _KEYS) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines) or _may_fill(low)
+    return any(k in low for k in _KEYS) or bool(_CODE.search(low)) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines) or _may_fill(low)
 
 
 def may_hold(text: str) -> bool:
