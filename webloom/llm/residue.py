@@ -1,12 +1,20 @@
 """Template residue, filler and error-page text.
 
 ``find_residue`` looks at a title and a content and names what a template or a
-server left there. Unfilled placeholders are read by one small grammar for each
-kind of delimiter; a placeholder inside code, or inside prose that talks about
-templates, is a mention and does not count unless the text also holds
-placeholders outside such prose. Server and script notices and stock phrases
-count where they stand as a whole line or sentence; filler is judged by the
-share of dummy-Latin words in a sentence.
+server left there.
+
+* Unfilled placeholders are read by one small grammar for each kind of delimiter. A
+  placeholder inside code, or inside a sentence that talks about templates, is a
+  mention. Density decides for the text: where it mentions as many as it leaves open
+  and talks about templates throughout, it is a tutorial and all of them are mentions;
+  where open placeholders are a tenth of its words, it is a template whatever it says.
+* Notices are no list of sentences. Each word of a sentence is looked up in a small
+  lexicon of ideas (a page, a system, access, scripts; missing, failed, refused, switched
+  on). A sentence is a notice if its ideas combine to one (a page that is missing, scripts
+  that must be switched on) and cover it: prose that merely mentions them brings other
+  words along.
+* Filler is judged by the share of dummy-Latin words in a sentence, by words that are
+  repeated, and by ideas of editors' dummy text.
 
 Defined results: null and empty texts hold nothing; repeated rows are judged
 alike; any other column is left alone.
@@ -25,7 +33,7 @@ GRAMMARS = [
     ("block tag", "{%", re.compile(r"\{%-?\s*[A-Za-z][^%\n]*%\}")),
     ("dollar brace", "${", re.compile(r"\$\{[A-Za-z_][\w.]*\}")),
     ("hash brace", "#{", re.compile(r"#\{[A-Za-z_@][\w.]*\}")),
-    ("bang brace", "{!", re.compile(r"\{![A-Za-z_$][\w.]*\}")),
+    ("bang brace", "{!", re.compile(r"\{!{1,2}\s*[A-Za-z_$][\w.>$-]*\s*!{0,2}\}")),
     ("embedded code", "<%", re.compile(r"<%[=#@-]?\s*[^%\n]+%>")),
     ("processing instruction", "<?", re.compile(r"<\?(?:php|=)[^\n]*?\?>")),
     ("double percent", "%%", re.compile(r"%%[A-Za-z_][\w.]*%%")),
@@ -54,139 +62,117 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 
-# Stock sentences of servers, programs, access checks, script notices and
-# editors' dummy text. They count as a whole line or sentence.
-NOTICES = """
-page not found
-the page you requested could not be found
-it may have been moved or deleted
-internal server error
-service temporarily unavailable
-sorry, something went wrong on our side
-access to this resource is denied
-your request has been logged
-we are checking that your connection is secure before you continue
-error establishing a connection to the data store
-you need to turn on javascript and cookies to continue
-please enable javascript to view this page
-this application needs scripts to be switched on in your browser in order to run
-seite nicht gefunden
-die angeforderte seite existiert nicht oder wurde verschoben
-der dienst ist vorübergehend nicht erreichbar
-interner serverfehler
-zugriff verweigert
-bitte aktivieren sie javascript, um diese seite anzuzeigen
-für diese anwendung müssen skripte im browser eingeschaltet sein
-page introuvable
-la page demandée n’existe pas ou a été déplacée
-service momentanément indisponible
-erreur interne du serveur
-accès refusé
-veuillez activer javascript pour afficher cette page
-cette application exige que les scripts soient autorisés dans votre navigateur
-página no encontrada
-la página solicitada no existe o ha sido movida
-servicio no disponible temporalmente
-error interno del servidor
-acceso denegado
-active javascript para ver esta página
-esta aplicación necesita que los scripts estén permitidos en su navegador
-página não encontrada
-a página pedida não existe ou foi movida
-serviço temporariamente indisponível
-erro interno do servidor
-acesso negado
-ative o javascript para ver esta página
-esta aplicação precisa que os scripts sejam permitidos no seu navegador
-pagina non trovata
-la pagina richiesta non esiste o è stata spostata
-servizio temporaneamente non disponibile
-errore interno del server
-accesso negato
-attiva javascript per vedere questa pagina
-questa applicazione richiede gli script attivi nel browser
-pagina niet gevonden
-de gevraagde pagina bestaat niet of is verplaatst
-de dienst is tijdelijk niet beschikbaar
-interne serverfout
-toegang geweigerd
-zet javascript aan om deze pagina te bekijken
-voor deze toepassing moeten scripts in uw browser aan staan
-nie znaleziono strony
-żądana strona nie istnieje lub została przeniesiona
-usługa chwilowo niedostępna
-wewnętrzny błąd serwera
-odmowa dostępu
-włącz javascript, aby zobaczyć tę stronę
-ta aplikacja wymaga włączonych skryptów w przeglądarce
-страница не найдена
-запрошенная страница не существует или была перемещена
-сервис временно недоступен
-внутренняя ошибка сервера
-доступ запрещён
-включите javascript, чтобы увидеть эту страницу
-для работы приложения в браузере должны быть разрешены скрипты
-bad gateway
-gateway timeout
-too many requests
-sample text
-replace this paragraph with your own words
-this is a demo post
-edit or delete it, then start writing
-hier steht ihr text
-votre texte ici, votre texte ici, votre texte ici
-votre texte ici
-su texto va aquí
-""".strip().split("\n")
-_NOTICES = frozenset(NOTICES)
-#: The longest words of each notice let most texts pass after a plain substring search.
-_NOTICE_KEYS = tuple(sorted({" ".join(n.split()[-2:]) for n in NOTICES}))
-
-# Parts of notices, as whole sentences: a status that a code precedes, a page
-# that is missing, a refusal, a request to switch scripts on, a check of the browser.
-_CODED = re.compile(
-    r"^(?:http(?:/[\d.]+)? |error |fehler |erreur |errore |erro |fout |błąd |ошибка )*[45]\d\d[\s:–-]+(?:error[\s:–-]+)?(?:not found|forbidden|unauthorized|access denied|bad request|payment required|method not allowed|not acceptable|request time-?out|gone|service (?:temporarily )?unavailable|bad gateway|gateway time-?out|internal (?:server )?error|too many requests|nicht gefunden|verboten|introuvable|interdit|no encontrad[oa]|prohibido|não encontrad[oa]|proibido|non trovat[oa]|vietato|niet gevonden|verboden|nie znaleziono|zabronione|не найден[ао]?|запрещено)$"
+# Word stems by idea, in the languages of the tables. A word has an idea if it
+# begins with a stem; a stem after a star also counts within a compound.
+IDEAS = {
+    "thing": "page site url address link file document resource content something inhalt contenu contenido conteúdo contenuto inhoud seite datei dokument adresse fichier ressource página sitio recurso archivo ficheiro arquivo pagina sito risorsa bestand bron stron plik zasób страниц сайт файл ресурс request angefordert demandé solicitad pedid richiest gevraagd żądan запрошенн",
+    "system": "server service connection gateway proxy database datastore system session application app login internal unexpected dienst verbindung datenbank anwendung sitzung intern serveur connexion application session servidor servicio conexión aplicación sesión serviço conexão ligação aplicação sessão servizio connessione applicazione sessione verbinding toepassing sessie serwer usług połączeni aplikacj sesj wewnętrzn сервер сервис соединени приложени сесси внутренн",
+    "access": "access authorized permission permissions zugriff zugang berechtigung accès acceso permiso acesso accesso toegang dostęp доступ",
+    "fail": "error errors fail failed failure wrong *fehler serverfout fehlgeschlagen schiefgelaufen erreur échou échec erro falhou errore fallit fout mislukt błąd błęd ошибк сбой establish",
+    "missing": "found exist exists available gefunden existiert erreichbar verfügbar trouvé existe encontrad disponib trovat esist esiste gevonden bestaat beschikbaar bereikbaar znalezion istnieje dostępn найден существует",
+    "gone": "moved deleted removed gone unavailable expired timeout timed verschoben gelöscht entfernt abgelaufen introuvable déplacé supprimé indisponible expiré movid eliminad expirad indisponib indisponív spostat rimoss scadut verplaatst verwijderd verlopen przeniesion usunięt niedostępn wygasł перемещ удален удалён недоступ истек",
+    "refuse": "denied forbidden blocked unauthorized restricted refused invalid bad verweigert gesperrt verboten blockiert refusé interdit bloqué denegad prohibid bloquead negad proibid negat vietat bloccat geweigerd geblokkeerd odmow zabronion zablokowan запрещ заблокир отказано",
+    "script": "javascript script *script *skript js скрипт skrypt noscript",
+    "cookie": "cookie cookies",
+    "switch": "enable enabled disabled turn turned switch switched activate activated allow allowed require required requires must need needs support aktivier deaktivier eingeschaltet einschalten erforderlich benötigt müssen muss active activer activez désactiv autoris exige nécessite doit devez activ habilit requier necesita debe permitid ative ativar ativ precisa permitidos attiv abilit disabilit richiede devono schakel inschakelen zet moeten vereist nodig włącz wymaga należy включ разреш требу долж необходим",
+    "check": "checking check verify verifying confirm überprüf geprüft prüfen vérifi comprob verific controll gecontroleerd sprawdz weryfik проверк проверя подтверд",
+    "agent": "browser human robot captcha navigateur navegador przegląd браузер mensch humain humano umano człowiek человек",
+    "text": "text texte texto testo tekst текст paragraph absatz paragraphe párrafo parágrafo paragrafo alinea akapit абзац words post article title heading headline caption copy content",
+    "sample": "sample demo dummy example placeholder beispiel mustertext exemple ejemplo exemplo esempio voorbeeld przykład пример",
+    "edit": "replace edit delete insert write type ersetz bearbeit einfüg remplac modifi insér reemplac edit substitu escrev sostitu scriv vervang bewerk zastąp wpisz замен встав",
+    "here": "here hier ici aquí aqui qui tutaj здесь",
+    "mine": "your ihr ihren dein votre su tu seu vosso tuo suo vostro uw jouw twój ваш",
+    "no": "not no cannot can doesn t nicht kein keine ne n pas não non niet geen nie не нет",
+}
+# Other words of such sentences, beside those of up to three letters.
+ASIDE = frozenset(
+    "please sorry again later data store side went view быть работы vedere work works properly without wird werden konnte kann occurred encountered establishing soient steht staan this that your from with have been will were oops http plus para você nous oder vous auch nach maar door voor naar aan staan para este esta está были была было через please while before temporarily momentarily currently reload refresh continue proceed resource could seems looking trying reach requested logged secure whether bitte später erneut versuchen vorübergehend wurde wurden diese dieser dieses ihrem ihren ihrer nicht fortzufahren anzuzeigen veuillez réessayer momentanément cette votre notre dans soient pour afficher continuer favor temporalmente inténtelo tarde nuevo nuestro continuar temporariamente tente novamente mais questa questo temporaneamente riprova tardi visualizzare continuare deze tijdelijk probeer later opnieuw bekijken proszę chwilowo spróbuj ponownie później została został twojej swojej zobaczyć пожалуйста временно повторите попытку позже чтобы вашем своем этой этот этого увидеть these their there those would should which where about having doing going".split()
 )
-_SCRIPT = r"(?:(?:java ?)?scripts?|cookies|js)"
-_GOAL = r"(?:,? (?:to|in order to|and|um|damit|pour|afin|para|per|om|aby|żeby|чтобы|для|und|et|y|e|en|i|и)\b.*)?"
-_WHERE = r"(?:,? (?:in|on|dans|en|no|nel|sur|w|в) (?:your|the|ihrem|votre|su|tu|seu|tuo|suo|uw|je|twojej|swojej|вашем|своём|своем)? ?(?:web )?(?:browser|navigateur|navegador|przeglądarce|браузере))?"
-_PARTS = [
-    re.compile(p)
-    for p in (
-        r"(?:sorry,? |oops,? )?(?:the |this |that )?(?:requested )?(?:page|url|file|resource|document)(?: (?:that )?(?:you(?:'re|’re| are| were)? (?:requested|looking for|trying to (?:reach|access))))? (?:was not found|not found|could not be found|cannot be found|can(?:'|’)t be found|is not available|does not exist|doesn(?:'|’)t exist|no longer exists|has been (?:moved|removed|deleted))(?: on this server)?",
-        r"(?:sorry,? )?(?:your )?(?:access|permission)(?: to (?:this|the requested) \w+)?(?: is| was| has been)? (?:denied|forbidden|blocked)|you (?:do not|don(?:'|’)t) have (?:permission|access)(?: to .*)?|you have been blocked",
-        r"(?:der )?(?:zugriff|zugang)(?: auf diese \w+)?(?: wurde| ist)? (?:verweigert|gesperrt|verboten)|(?:l(?:'|’))?accès(?: à cette \w+)?(?: est| a été)? (?:refusé|interdit)|(?:el )?acceso(?: a esta \w+)?(?: está| ha sido)? (?:denegado|prohibido)|(?:o )?acesso(?: a esta \w+)?(?: foi| está)? (?:negado|proibido)|(?:l(?:'|’))?accesso(?: a questa \w+)?(?: è| è stato)? (?:negato|vietato)|(?:de )?toegang(?: tot deze \w+)?(?: is| werd)? (?:geweigerd|verboden)|(?:odmowa|brak) dostępu|dostęp (?:zabroniony|zablokowany)|доступ (?:запрещ[её]н|закрыт)",
-        r"(?:sorry,? )?(?:you(?:(?:'|’)ll)? (?:need to|must|have to) |please )?(?:enable|activate|turn on|switch on|allow) " + _SCRIPT + r"(?: and " + _SCRIPT + r")?" + _WHERE + _GOAL,
-        _SCRIPT + r" (?:is|are|seems to be|must be|needs to be) (?:disabled|required|turned off|not enabled|enabled|not available)" + _WHERE + _GOAL,
-        r"(?:this|the) (?:page|site|website|app|application) (?:requires|needs) " + _SCRIPT + r"(?: to .*)?",
-        r"(?:bitte )?aktivieren sie (?:bitte )?" + _SCRIPT + _WHERE + _GOAL + r"|" + _SCRIPT + r" (?:ist|sind) (?:deaktiviert|erforderlich)" + _WHERE,
-        r"(?:veuillez |vous devez )?(?:activer|activez|autoriser|autorisez) " + _SCRIPT + _WHERE + _GOAL,
-        r"(?:por favor,? |debes? |debe )?(?:activar?|active|activa|habilit[ae]r?|ative|ativar) (?:o |el )?" + _SCRIPT + _WHERE + _GOAL,
-        r"(?:è necessario |si prega di )?(?:attiva|attivare|abilita|abilitare) " + _SCRIPT + _WHERE + _GOAL,
-        r"(?:schakel|zet) " + _SCRIPT + r" (?:in|aan)" + _WHERE + _GOAL + r"|(?:proszę )?włącz(?:yć)? (?:obsługę )?" + _SCRIPT + _WHERE + _GOAL + r"|(?:пожалуйста,? )?включите " + _SCRIPT + _WHERE + _GOAL,
-        r"(?:please wait,? )?(?:while )?(?:we are |we're |we’re )?(?:checking|verifying) (?:that |if |whether )?(?:your browser|your connection|the security of your connection|you are (?:a )?human)\b.*|(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?(?:human|not a robot)",
-        r"(?:ihr|der) browser wird (?:überprüft|geprüft).*|vérification de votre navigateur.*|comprobando (?:su|tu) navegador.*|verificando (?:o )?seu navegador.*|(?:verifica|controllo) del (?:tuo |suo )?browser.*|(?:uw|je) browser wordt gecontroleerd.*|sprawdzanie (?:twojej )?przeglądarki.*|проверка (?:вашего )?браузера.*",
-    )
-]
-#: Every sentence that fits some part holds one of these.
-_PART_KEYS = ("page", "url", "file", "resource", "document", "access", "permission", "blocked", "zugriff", "zugang", "accès", "acceso", "acesso", "toegang", "dostęp", "доступ", "script", "cookies", "js", "browser", "connection", "human", "robot", "navigateur", "navegador", "przeglądark", "браузер")
-_CODE = re.compile(r"[45]\d\d[\s:–-]")
+#: Ideas that make a notice together; ``gone`` needs no negation, ``missing`` does.
+_BITS = {idea: 1 << n for n, idea in enumerate([*IDEAS, "code"])}
+_RULES = tuple(
+    sum(_BITS[i] for i in rule.split())
+    for rule in "thing missing no|thing gone|thing fail|thing refuse|system missing no|system gone|system fail|system refuse|access refuse|access no missing|access no thing|script switch|cookie switch agent|check agent|check system|code missing no|code gone|code fail|code refuse|code access|fail system|sample text|edit text mine|edit text sample|text here mine".split("|")
+)
+_DUMMY = _BITS["text"]
+_CODE = re.compile(r"(?:^|[^\w.,])[45]\d\d(?:$|[^\w.,])")
+_CODED = re.compile(r"^\W*(?:(?:http|error|fehler|erreur|errore|erro|fout|błąd|ошибка)\W+(?:[\d.]+\W+)?)*[45]\d\d\b")
+#: One word in so many may lie outside the ideas of a notice, and of editors' dummy text.
+OUTSIDE, OUTSIDE_DUMMY = 8, 4
 
 # What programs print in place of a text, as a whole line.
-LINES = frozenset(["undefined", "nan", "null", "null null", "[object object]", "noscript", "loading…", "loading...", "just a moment", "just a moment..."])
+LINES = frozenset(["undefined", "nan", "null", "null null", "[object object]", "noscript", "loading…", "loading...", "just a moment", "just a moment...", "just a moment…"])
+# The titles publishing systems give new pages.
 TITLES = LINES | frozenset(["lorem ipsum", "sample page", "draft copy", "hello world", "new page", "untitled"])
 _PROGRAM = re.compile(r"^(?:fatal error|traceback|warning|uncaught \w+|exception)\s*[:(].*$|^warning: \w+\([^)]*\).*$", re.I)
 _PROGRAM_KEYS = ("fatal error", "traceback", "warning", "uncaught ", "exception")
 _REPEAT = re.compile(r"^\W*(\w{2,})(?:\W+\1){3,}\W*$", re.I)
-_STATUS = re.compile(r"^(?:http |error |fehler |erreur )?[45]\d\d[\s:–-]+", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-_KEYS = (*_NOTICE_KEYS, *_PROGRAM_KEYS, *_PART_KEYS)
 _OPENERS = tuple(dict.fromkeys(o for _, o, _ in GRAMMARS if o not in ("(", "[", "{")))
 
 
-def _plain(sentence: str) -> str:
-    return _STATUS.sub("", sentence.strip(" \t\r.!:–-…\"'“”„»«*>[]#")).strip().lower()
+class Lexicon:
+    """Which ideas a text or a word holds, as bits. The search tree is built where it is used."""
+
+    def __init__(self, ideas: dict[str, str]):
+        self.stems: dict[str, int] = {}
+        self.inner: list[str] = []
+        for idea, stems in ideas.items():
+            for stem in stems.split():
+                if stem[0] == "*":
+                    stem = stem[1:]
+                    self.inner.append(stem)
+                self.stems[stem] = self.stems.get(stem, 0) | _BITS[idea]
+        self.tree = None
+        self.known: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"stems": self.stems, "inner": self.inner, "tree": None, "known": {}}
+
+    def within(self, low: str) -> int:
+        """The ideas whose stems stand anywhere in a text: a superset of its words' ideas."""
+        if self.tree is None:
+            try:
+                import ahocorasick
+
+                self.tree = ahocorasick.Automaton()
+                for stem, bits in self.stems.items():
+                    self.tree.add_word(stem, bits)
+                self.tree.make_automaton()
+            except ImportError:
+                self.tree = ()
+        out = 0
+        if self.tree == ():
+            for stem, bits in self.stems.items():
+                if stem in low:
+                    out |= bits
+            return out
+        for _, bits in self.tree.iter(low):
+            out |= bits
+        return out
+
+    def of(self, word: str) -> int:
+        """The ideas of a word."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.stems.get(word, 0)
+            for stem, bits in self.stems.items():
+                if len(stem) >= 4 and word.startswith(stem):
+                    found |= bits
+            for stem in self.inner:
+                if stem in word:
+                    found |= self.stems[stem]
+            if len(self.known) < 100_000:
+                self.known[word] = found
+        return found
+
+
+_LEXICON = Lexicon(IDEAS)
+
+
+def _combines(bits: int) -> bool:
+    return any(bits & rule == rule for rule in _RULES)
 
 
 def _filler(sentence: str) -> bool:
@@ -194,31 +180,41 @@ def _filler(sentence: str) -> bool:
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words)
 
 
-def _notice(sentence: str) -> bool:
-    """A known sentence, or a short one made of a notice's parts that does not talk
-    about templates."""
-    plain = _plain(sentence)
-    if plain in _NOTICES:
-        return True
-    if len(plain.split()) > 20:
-        return False
-    low = sentence.strip(" \t\r.!:–-…\"'“”„»«*>[]#").lower()
-    fits = _CODE.search(low) and _CODED.match(low) or any(k in plain for k in _PART_KEYS) and any(p.fullmatch(plain) for p in _PARTS)
-    return bool(fits) and not ABOUT.search(sentence)
+def _notice(sentence: str) -> str | None:
+    """What a sentence says if its ideas combine and cover it: ``notice``, or ``filler``
+    for editors' dummy text."""
+    low = sentence.lower()
+    coded = _BITS["code"] if _CODED.match(low) else 0
+    if not _combines(_LEXICON.within(low) | coded):
+        return None
+    words = _WORD.findall(low)
+    if not words or len(words) > 24:
+        return None
+    own = [_LEXICON.of(w) for w in words]
+    bits = coded
+    for b in own:
+        bits |= b
+    if not _combines(bits):
+        return None
+    dummy = not any(bits & rule == rule and not rule & _DUMMY for rule in _RULES)
+    if sum(not b and len(w) > 3 and w not in ASIDE for w, b in zip(words, own)) > len(words) // (OUTSIDE_DUMMY if dummy else OUTSIDE):
+        return None
+    # Small words alone carry no notice: at least a quarter of the words have ideas.
+    if 4 * (sum(bool(b) for b in own) + bool(coded)) < len(words):
+        return None
+    return None if not dummy and ABOUT.search(sentence) else "filler" if dummy else "notice"
 
 
 def residue_line(line: str) -> str | None:
     """What kind of residue a whole line is, or holds as a whole sentence."""
     low = line.strip().lower()
-    if low in LINES:
-        return "program output"
-    if _PROGRAM.match(low):
+    if low in LINES or _PROGRAM.match(low):
         return "program output"
     if _REPEAT.match(low):
         return "filler"
     for sentence in _SENTENCE.split(line.strip()):
-        if _notice(sentence):
-            return "notice"
+        if kind := _notice(sentence):
+            return kind
         if _filler(sentence):
             return "filler"
     return None
@@ -246,6 +242,19 @@ def _placeholders(text: str) -> tuple[list[tuple[str, str]], int]:
     return found, mentioned
 
 
+def open_placeholders(text: str) -> list[tuple[str, str]]:
+    """(kind, placeholder) of the unfilled ones, none where the text is a tutorial: it
+    mentions as many as it leaves open, and every fourth of its sentences is about templates."""
+    found, mentioned = _placeholders(text)
+    if not found or mentioned < len(found):
+        return found
+    if 10 * len(found) >= len(_WORD.findall(text)):
+        return found
+    sentences = [s for line in text.split("\n") for s in _SENTENCE.split(line) if s.strip()]
+    about = sum(bool(ABOUT.search(s)) for s in sentences)
+    return [] if 4 * about >= len(sentences) else found
+
+
 def _may_place(text: str, low: str) -> bool:
     return any(o in text for o in _OPENERS) or "[" in text or "{" in text or "(placeholder" in low or "(dummy" in low or "goes here" in low
 
@@ -259,7 +268,10 @@ def _may_fill(low: str) -> bool:
 
 def _may_stand(low: str, lines: list[str]) -> bool:
     """False only if no whole line or sentence is residue; a cheap screen."""
-    return any(k in low for k in _KEYS) or bool(_CODE.search(low)) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines) or _may_fill(low)
+    coded = _BITS["code"] if _CODE.search(low) else 0
+    if any(k in low for k in _PROGRAM_KEYS) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines) or _may_fill(low):
+        return True
+    return _combines(_LEXICON.within(low) | coded)
 
 
 def may_hold(text: str) -> bool:
@@ -282,7 +294,7 @@ def find_residue(text: str | None, title: bool = False) -> list[tuple[str, str]]
     out: list[tuple[str, str]] = []
     low = text.lower()
     if _may_place(text, low):
-        out += _placeholders(text)[0]
+        out += open_placeholders(text)
     if title and re.sub(r"\s*\(\d+\)$", "", low.strip()) in TITLES:
         out.append(("title", text))
     if _may_stand(low, low.split("\n")):
