@@ -2,16 +2,22 @@
 
 A line is a block. Pass one decides blocks by length, stop-word density and link
 density (in plain text: the share of words in menu items, that is, short items
-between separators or behind bullets), and by stock wording of page furniture.
+between separators or behind bullets), and by what the corpus shows of the line.
 Pass two lets ambiguous short blocks inherit the label of the nearest decided
 neighbours; lines under a heading of teasers belong to it.
 
-Stop words are not a list: they are the words that most samples of a language
+There is no list of furniture. ``site_lines`` counts the lines of each source by their
+letters: furniture is what stands in a share of a source's pages and around different
+articles (so the copies of one article are none), or what several sources repeat. A
+repeated line that open lines of other wording usually follow is a heading of teasers.
+Stop words are no list either: they are the words that most samples of a language
 share (``stop_words``), so other languages need only other samples.
 
 Defined results: null and empty texts have no lines; empty lines are never
-reported; lines of residue (see ``residue``) belong to the body; repeated rows
-give repeated results unless the caller keeps distinct ones.
+reported; lines of residue (see ``residue``) belong to the body; null sources are one
+source; a source of fewer than ``least`` pages repeats nothing, so its pages are judged
+by their blocks alone; repeated rows give repeated results unless the caller keeps
+distinct ones.
 """
 
 from __future__ import annotations
@@ -19,35 +25,23 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.repeated_lines import common_lines, letters_key
 from webloom.llm.residue import line_holds, may_hold
-from webloom.session import shipped
-
-# Wording of page furniture in the languages of the tables, by purpose.
-FURNITURE = {
-    "consent": ["cookie", "stores small files on your device", "speichert kleine dateien", "enregistre de petits fichiers", "guarda pequeños archivos", "guarda pequenos ficheiros", "salva piccoli file", "bewaart kleine bestanden", "zapisuje małe pliki", "сохраняет небольшие файлы"],
-    "share": ["share this article", "diesen artikel mit freunden teilen", "partager cet article", "comparte este artículo", "partilhe este artigo", "condividi questo articolo", "deel dit artikel", "udostępnij ten artykuł", "поделитесь этой статьёй"],
-    "newsroom": ["written by the", "aus der redaktion von", "par la rédaction de", "por la redacción de", "pela redação de", "a cura della redazione", "door de redactie van", "przygotowała redakcja", "подготовлено редакцией"],
-    "about": ["independent reporting since", "unabhängig seit", "journal indépendant depuis", "periodismo independiente desde", "jornalismo independente desde", "indipendente dal", "onafhankelijk sinds", "niezależnie od", "независимо с"],
-    "comments": ["comments are moderated", "kommentare werden moderiert", "les commentaires sont modérés", "los comentarios se moderan", "os comentários são moderados", "i commenti sono moderati", "reacties worden gemodereerd", "komentarze są moderowane", "комментарии модерируются"],
-    "legal": ["reproduced without written permission", "nachdruck nur mit", "reproduction interdite", "prohibida la reproducción", "reproducción prohibida", "reprodução proibida", "riproduzione vietata", "overname alleen met", "przedruk tylko za", "перепечатка только с", "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados", "todos os direitos reservados", "tutti i diritti riservati", "alle rechten voorbehouden", "wszelkie prawa zastrzeżone", "все права защищены", "not responsible for the content of", "keine haftung für die inhalte", "n’est pas responsable du contenu", "no se hace responsable", "não é responsável pelo", "non è responsabile dei", "niet verantwoordelijk voor de inhoud", "nie odpowiada za treść", "не отвечает за содержание"],
-    "follow": ["on social media", "download our free app", "sign up for our", "morning newsletter", "newsletter am morgen", "notre lettre du matin", "nuestro boletín", "nossa carta da manhã", "nostra lettera del mattino", "onze ochtendbrief", "poranny biuletyn", "утреннюю рассылку"],
-}
-# Headings over teasers of other pages.
-TEASERS = ["related stories", "you may also like", "most read this week", "from the same section", "mehr zum thema", "das könnte sie auch interessieren", "meistgelesen", "sur le même sujet", "vous aimerez aussi", "les plus lus", "noticias relacionadas", "también te puede interesar", "lo más leído", "mais lidas", "notícias relacionadas", "leia também", "pode interessar", "articoli correlati", "i più letti", "potrebbe interessarti", "misschien ook interessant", "meest gelezen", "lees ook", "zobacz także", "najczęściej czytane", "читайте также", "самое читаемое"]
-_HEADINGS = frozenset(TEASERS)
-_KEYS = (*(w for words in FURNITURE.values() for w in words), *TEASERS)
-_READERS = re.compile(r"^\d[\d., ]* (?:people have read this|leser|lecteurs|lectores|leitores|lettori|lezers|czytelnik\w*|читател\w*)\b.{0,12}$")
-_TEASERS = re.compile("^(?:" + "|".join(re.escape(w) for w in TEASERS) + r")\s*(:.*)?$")
+from webloom.session import shipped, stored
+
 _DECORATION = re.compile(r"^[\s>*\-–—\[(•·]+|[\s\])…!]+$")
 _SEPARATOR = re.compile(r"\s+[|/·>»•›]\s+|\s+[|/·>»•›]$")
 _LIST_ITEM = re.compile(r"^\s*(?:[-–*•]|\d{1,2}[.)])\s+")
 _END = re.compile(r"[.!?…][\"'”’»“)\]]*$")
+_ENDED = r"[.!…][\"'”’»“)\]]*\s*$"
 _WORD = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, SHORT, HEADING = 1, 2, 3, 4
+#: What the corpus shows of a line: nothing, repeated, a heading of teasers, a teaser behind one.
+REPEATED, TEASERS, TEASER = 1, 2, 3
 
 
 def stop_words(samples: DataFrame, share: float = 0.1, longest: int = 5) -> frozenset[str]:
@@ -60,30 +54,70 @@ def stop_words(samples: DataFrame, share: float = 0.1, longest: int = 5) -> froz
     return frozenset(r[0] for r in rows)
 
 
-def _first_pass(line: str, stops: frozenset[str], furniture: list[str], residue: bool) -> int:
-    ended = bool(_END.search(line))
-    low = line.lower()
-    stocked = any(k in low for k in furniture)
-    if len(line) >= 60 and ended and not stocked and line[0] not in "→»•©[>*-–" and not (line[-1] == "?" and line.count("?") == 1):
-        return GOOD
+def _shapes(content: Column) -> Column:
+    """Of each non-empty line its key and whether it is open: short and without an end."""
+    open_ = lambda x: (F.length(x) < 110) & ~x.rlike(_ENDED)
+    return F.transform(F.filter(F.split(content, "\n", -1), lambda x: x.rlike(r"\S")), lambda x: F.struct(letters_key(x).alias("k"), open_(x).alias("o"), F.length(x).alias("n")))
+
+
+def site_lines(rows: DataFrame, source: str, content: str, least: int = 4, share: float = 0.05, follow: float = 0.6, sources: int = 3, of_sources: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(own, everywhere): own (source, _common, _heads) has the keys of each source's
+    repeated lines and of its headings of teasers; everywhere is one row (_all,
+    _all_heads) with those that at least ``sources`` sources repeat (two for a heading)
+    and ``of_sources`` of them, so it has at most 1 / ``of_sources`` x the mean of a source.
+
+    A line is repeated if it stands in ``least`` pages of its source and ``share`` of
+    them, with ``least`` different longest lines beside it. It is a heading if lines that
+    are open and not repeated follow ``follow`` of its occurrences. Counts are combined
+    before they are shuffled; contexts are counted for common lines only."""
+    lines = stored(rows.where(F.col(content).isNotNull()).select(F.col(source), _shapes(F.col(content)).alias("_lines")), "blocks")
+    common = common_lines(lines.select(source, F.col("_lines.k").alias("_keys")), source, least, share).withColumnRenamed(source, "_source")
+    met = lines.join(common, lines[source].eqNullSafe(common["_source"]))
+    around = F.array_max(F.transform("_lines", lambda x: F.struct(x["n"], x["k"])))["k"]
+    after = F.get("_lines", F.col("_at") + 1)
+    placed = met.select("_source", "_lines", "_common", around.alias("_around"), F.posexplode("_lines").alias("_at", "_one")).where(F.array_contains("_common", F.col("_one.k")))
+    opens = F.coalesce(after["o"] & after["k"].isNotNull() & ~F.array_contains("_common", after["k"]), F.lit(False))
+    seen = placed.select("_source", F.col("_one.k").alias("k"), "_around", opens.cast("int").alias("_open"))
+    seen = seen.groupBy("_source", "k").agg(F.approx_count_distinct("_around").alias("c"), F.avg("_open").alias("f")).where(F.col("c") >= least)
+    seen = stored(seen.select("_source", "k", (F.col("f") >= follow).alias("head")), "furniture")
+    own = seen.groupBy("_source").agg(F.collect_list("k").alias("_common"), F.collect_list(F.when(F.col("head"), F.col("k"))).alias("_heads"))
+    total = F.lit(of_sources) * seen.select("_source").distinct().count()
+    wide = seen.groupBy("k").agg(F.count("*").alias("n"), F.count_if("head").alias("h"))
+    heads = F.when((F.col("h") >= 2) & (F.col("h") >= total), F.col("k"))
+    everywhere = wide.where((F.col("n") >= total) & ((F.col("n") >= sources) | heads.isNotNull())).agg(F.collect_list(F.when(F.col("n") >= sources, F.col("k"))).alias("_all"), F.collect_list(heads).alias("_all_heads"))
+    return own, everywhere
+
+
+def with_evidence(rows: DataFrame, source: str, content: str, **options) -> DataFrame:
+    """``rows`` with ``_flags``: what the corpus shows of each line of ``content``. There is
+    one row of repeated lines a source; Spark broadcasts them while they are small."""
+    own, everywhere = site_lines(rows, source, content, **options)
+    joined = rows.join(own, rows[source].eqNullSafe(own["_source"]), "left").join(F.broadcast(everywhere), F.lit(True))  # one row
+    has = lambda arrays, k: F.coalesce(F.array_contains(arrays[0], k), F.lit(False)) | F.array_contains(arrays[1], k)
+    repeated, heads = ("_common", "_all"), ("_heads", "_all_heads")
+    keys = F.transform(F.split(content, "\n", -1), lambda x: F.struct(letters_key(x).alias("k"), F.when(x.contains(":"), letters_key(F.substring_index(x, ":", 1))).alias("lead")))
+    flag = lambda x: F.when(has(heads, x["k"]), TEASERS).when(x["lead"].isNotNull() & has(heads, x["lead"]), TEASER).when(has(repeated, x["k"]), REPEATED).otherwise(0)
+    return joined.select(*rows.columns, F.transform(keys, lambda x: flag(x).cast("tinyint")).alias("_flags"))
+
+
+def _first_pass(line: str, stops: frozenset[str], flag: int, residue: bool) -> int:
     if residue and line_holds(line):
         return GOOD
-    bare = _DECORATION.sub("", low)
+    if flag:
+        return HEADING if flag == TEASERS else BAD
+    bare = _DECORATION.sub("", line.lower())
     words = _WORD.findall(bare)
     if not words or (len(bare) <= 8 and all(len(w) <= 2 for w in words)):
         return BAD if len(line) <= 40 else SHORT
-    if stocked and (m := _TEASERS.match(bare)):
-        return BAD if m.group(1) and len(m.group(1)) > 1 else HEADING
-    if line[0] in "→»©" or (stocked and len(words) <= 32 and any(k in low for k in furniture if k not in _HEADINGS)) or (line[-1:].isalpha() or not ended or len(words) < 9) and _READERS.match(bare):
-        return BAD
+    ended = bool(_END.search(line))
     items = [x for x in _SEPARATOR.split(_LIST_ITEM.sub("", line)) if x and x.strip()]
     if len(items) > 1 and not any(x.strip(" )]").isdigit() for x in items):
         sizes = [len(_WORD.findall(x)) for x in items]
         linked = sum(n for n in sizes if n <= 3)
         path = len(items) >= 3 and max(sizes[:-1]) <= 3
-        if path or (linked > 0.5 * len(words) and not ended) or (len(items) == 2 and len(words) <= 5 and not ended):
+        if path or linked > 0.5 * len(words) or (len(items) == 2 and len(words) <= 5 and not ended):
             return BAD
-    if line[0] == "•" and len(words) <= 4:
+    if line[0] in "→»©" or (line[0] == "•" and len(words) <= 4):
         return BAD
     question = line[-1] == "?" and len(words) <= 16 and not re.search(r"[.!?] ", _LIST_ITEM.sub("", line))
     density = sum(w in stops for w in words) / len(words)
@@ -94,14 +128,12 @@ def _first_pass(line: str, stops: frozenset[str], furniture: list[str], residue:
     return SHORT
 
 
-def label_lines(text: str, stops: frozenset[str]) -> list[bool | None]:
+def label_lines(text: str, stops: frozenset[str], flags: list[int] | None = None) -> list[bool | None]:
     """For each line whether it belongs to the body; None for empty lines."""
-    low = text.lower()
-    furniture = [k for k in _KEYS if k in low]
     residue = may_hold(text)
     lines = text.replace("\r", "").split("\n")
     full = [i for i, x in enumerate(lines) if x.strip()]
-    first = [_first_pass(lines[i].strip(), stops, furniture, residue) for i in full]
+    first = [_first_pass(lines[i].strip(), stops, flags[i] if flags else 0, residue) for i in full]
     size = [len(_WORD.findall(lines[i])) if k == SHORT else 9 for i, k in zip(full, first)]
     label = [None if k == SHORT else k == GOOD for k in first]
     # A run of short entries is a menu, whatever stands beside it.
@@ -125,6 +157,7 @@ def label_lines(text: str, stops: frozenset[str]) -> list[bool | None]:
         after[n] = nxt
         if label[n] is not None:
             nxt = label[n]
+    body = [n for n, x in enumerate(label) if x]
     for n in range(len(full)):
         if label[n] is not None:
             continue
@@ -138,7 +171,7 @@ def label_lines(text: str, stops: frozenset[str]) -> list[bool | None]:
             if label[n] and left is None and size[n] <= 2:
                 label[n] = False
             # A subheading between two notes still has body before and after it.
-            if not label[n] and size[n] > 3 and any(x is True for x in label[:n]) and any(x is True for x in label[n + 1 :]):
+            if not label[n] and size[n] > 3 and body and body[0] < n < body[-1]:
                 label[n] = True
         else:  # between body and furniture
             label[n] = size[n] > 3 or any(c.isdigit() for c in lines[full[n]])
@@ -148,15 +181,15 @@ def label_lines(text: str, stops: frozenset[str]) -> list[bool | None]:
     return out
 
 
-def _map(rows: DataFrame, keys: list[str], content: str, stops: frozenset[str], schema: str, make) -> DataFrame:
+def _map(rows: DataFrame, keys: list[str], content: str, source: str | None, stops: frozenset[str], schema: tuple, make) -> DataFrame:
     shared = shipped(rows.sparkSession, stops)
 
     def run(batches):
         stops = shared()
         for batch in batches:
             kept, made = [], []
-            for n, text in enumerate(batch.column(len(keys)).to_pylist()):
-                for one in make(text, label_lines(text, stops) if text else []):
+            for n, (text, flags) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                for one in make(text, label_lines(text, stops, flags) if text else []):
                     kept.append(n)
                     made.append(one)
             if kept:
@@ -164,17 +197,20 @@ def _map(rows: DataFrame, keys: list[str], content: str, stops: frozenset[str],
                 kinds = [f for f in zip(*made)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(k, t) for k, t in zip(kinds, schema[1]))], names=[*keys, *schema[2]])
 
-    return rows.select(*keys, content).mapInArrow(run, schema[0])
+    named = rows.select(*keys, F.col(content).alias("_content"), F.col(source).alias("_site") if source else F.lit(None).cast("string").alias("_site"))
+    known = with_evidence(named, "_site", "_content") if source else named.withColumn("_flags", F.lit(None).cast("array<tinyint>"))
+    return known.select(*keys, "_content", "_flags").mapInArrow(run, schema[0])
 
 
-def furniture_lines(rows: DataFrame, stops: frozenset[str], keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, line_no INT): every non-empty line outside the main body."""
+def furniture_lines(rows: DataFrame, stops: frozenset[str], keys: list[str], content: str = "content", source: str | None = None) -> DataFrame:
+    """(keys, line_no INT): every non-empty line outside the main body. ``source`` is the
+    column that names a page's site; without one pages are judged by their blocks alone."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     make = lambda text, labels: [(i + 1,) for i, x in enumerate(labels) if x is False]
-    return _map(rows, keys, content, stops, (f"{kinds}, line_no INT", [pa.int32()], ["line_no"]), make)
+    return _map(rows, keys, content, source, stops, (f"{kinds}, line_no INT", [pa.int32()], ["line_no"]), make)
 
 
-def main_body(rows: DataFrame, stops: frozenset[str], keys: list[str], content: str = "content") -> DataFrame:
+def main_body(rows: DataFrame, stops: frozenset[str], keys: list[str], content: str = "content", source: str | None = None) -> DataFrame:
     """(keys, body STRING): each text without its furniture; null stays null."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -184,4 +220,4 @@ def main_body(rows: DataFrame, stops: frozenset[str], keys: list[str], content:
         kept = [x for x, good in zip(text.split("\n"), labels) if good is not False]
         return [(re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip("\n"),)]
 
-    return _map(rows, keys, content, stops, (f"{kinds}, body STRING", [pa.string()], ["body"]), make)
+    return _map(rows, keys, content, source, stops, (f"{kinds}, body STRING", [pa.string()], ["body"]), make)

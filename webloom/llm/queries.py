@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions.urls import hostname
 from webloom.llm import boilerplate, language, mixing, mojibake, names, neardup, packing, repeated_lines, residue
 from webloom.llm.tokens import token_counts
 from webloom.session import stored, table
@@ -74,22 +75,22 @@ def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, id, content) of items and export rows with at least 500 characters."""
-    items, export = _items(spark, sf_dir), table(spark, sf_dir, EXPORT)
-    rows = items.select(F.lit("scraped_items").alias("tbl"), "id", "content").unionByName(export.select(F.lit(EXPORT).alias("tbl"), "id", "content"))
-    return rows.where(F.length("content") >= 500)
+    """(tbl, id, site, content) of items and export rows with at least 500 characters; the
+    site is the host of the URL."""
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), "id", hostname(F.col("url")).alias("site"), "content") for t in ("scraped_items", EXPORT)]
+    return parts[0].unionByName(parts[1]).where(F.length("content") >= 500)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines outside the main body; equal lines of rows that stand twice count once."""
     stops = boilerplate.stop_words(table(spark, sf_dir, "lang_samples"))
-    return boilerplate.furniture_lines(p7_rows(spark, sf_dir), stops, ["tbl", "id"]).distinct()
+    return boilerplate.furniture_lines(p7_rows(spark, sf_dir), stops, ["tbl", "id"], source="site").distinct()
 
 
 def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of each row."""
     stops = boilerplate.stop_words(table(spark, sf_dir, "lang_samples"))
-    return boilerplate.main_body(p7_rows(spark, sf_dir), stops, ["tbl", "id"])
+    return boilerplate.main_body(p7_rows(spark, sf_dir), stops, ["tbl", "id"], source="site")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

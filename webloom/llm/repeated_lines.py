@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 from webloom.session import stored
 
 
+def letters_key(line: Column) -> Column:
+    """The identifier of a line: a hash of its letters in lower case, null without letters."""
+    letters = F.lower(F.regexp_replace(line, r"\P{L}+", ""))
+    return F.get(F.transform(F.array(letters), lambda text: F.when(text != "", F.xxhash64(text))), F.lit(0))
+
+
 def line_keys(content: Column) -> Column:
-    """The identifier of each line in order, null for lines without letters."""
-    letters = lambda line: F.lower(F.regexp_replace(line, r"\P{L}+", ""))
-    key = lambda text: F.when(text != "", F.xxhash64(text))
-    return F.transform(F.transform(F.split(content, "\n", -1), letters), key)
+    """The identifier of each line in order."""
+    return F.transform(F.split(content, "\n", -1), letters_key)
 
 
 def keyed(docs: DataFrame, source: str, key: str, content: str) -> DataFrame:
