@@ -1,9 +1,10 @@
 """Near duplicates and names against brute force."""
 
 import itertools
+import random
 import re
 
-from webloom.llm import names, neardup
+from webloom.llm import graphs, names, neardup
 
 W = re.compile(r"[^\W_]+")
 
@@ -68,6 +69,39 @@ def test_names(spark):
     assert names.variant_pairs(df.limit(0)).count() == 0
 
 
+LONG = [
+    ["Maria del Carmen Lopez Garcia Torres", "Maria del Carmen Lopez Garcia Tores", "Torres Garcia Lopez, Maria del Carmen"],
+    ["International Union for Nature Water and Soil Research Institute", "International Union for Nature Water and Soil Reserch Institute", "International Union for Nature, Water, and Soil Research Institute"],
+    ["John Smithers Browning", "Jonh Smtihers Browning", "Browning, John Smithers", "J. S. Browning"],
+    ["Lununkalek Press Service", "Lununkalek PressS ervice", "Lununkalek Pres sService"],
+    ["Ronald Reuel Tolkamien", "Tolkamien, R. R.", "Tolkamien, Ronald Reuel, Jr."],
+]
+
+
+def test_long_names_and_several_typos(spark):
+    df = spark.createDataFrame([(n,) for g in LONG for n in g], "author STRING")
+    got = {tuple(r) for r in names.variant_pairs(df).collect()}
+    want = {tuple(sorted(p)) for g in LONG for p in itertools.combinations(g, 2)}
+    assert got <= want and {p for p in want - got} <= {p for p in want if "Torres Garcia Lopez, Maria del Carmen" in p}
+
+
+def test_assignment_is_the_best():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 5)
+        table = [[rng.choice([0, 0.01, 1, 9, rng.random()]) for _ in range(n)] for _ in range(n)]
+        assert abs(names.assignment(table) - min(sum(table[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))) < 1e-9
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(3000))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(5000, 5001), (7, 7)], "a BIGINT, b BIGINT")
+    nodes = spark.range(3001).selectExpr("id AS node", "id + 5 AS label")
+    assert sorted(map(tuple, graphs.components(nodes, edges).groupBy("label").count().collect())) == [(5, 3000), (3005, 1)]
+    assert graphs.components(nodes, edges.limit(0)).where("label <> node + 5").count() == 0
+
+
 def test_ambiguous_initials_stay_apart(spark):
     df = spark.createDataFrame([("Daria Coremomin",), ("Dagny Coremomin",), ("D. Coremomin",)], "author STRING")
     assert names.variant_pairs(df).count() == 0
