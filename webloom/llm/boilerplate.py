@@ -34,6 +34,7 @@ from webloom.session import shipped, stored
 
 _DECORATION = re.compile(r"^[\s>*\-–—\[(•·]+|[\s\])…!]+$")
 _SEPARATOR = re.compile(r"\s+[|/·>»•›]\s+|\s+[|/·>»•›]$")
+_SEPARATORS = frozenset("|/·>»•›")
 _LIST_ITEM = re.compile(r"^\s*(?:[-–*•]|\d{1,2}[.)])\s+")
 _END = re.compile(r"[.!?…][\"'”’»“)\]]*$")
 _ENDED = r"[.!…][\"'”’»“)\]]*\s*$"
@@ -100,11 +101,14 @@ def with_evidence(rows: DataFrame, source: str, content: str, **options) -> Data
     return joined.select(*rows.columns, F.transform(keys, lambda x: flag(x).cast("tinyint")).alias("_flags"))
 
 
-def _first_pass(line: str, stops: frozenset[str], flag: int, residue: bool) -> int:
-    if residue and line_holds(line):
+def _first_pass(line: str, stops: frozenset[str], flag: int, residue: int) -> int:
+    if residue and line_holds(line, residue):
         return GOOD
     if flag:
         return HEADING if flag == TEASERS else BAD
+    # Ended prose of some length without separators: the tests below would say the same.
+    if len(line) >= 60 and line[0].isalpha() and line[-1] in ".!…" and line.count(" ") >= 8 and _SEPARATORS.isdisjoint(line):
+        return GOOD
     bare = _DECORATION.sub("", line.lower())
     words = _WORD.findall(bare)
     if not words or (len(bare) <= 8 and all(len(w) <= 2 for w in words)):

@@ -107,6 +107,11 @@ TITLES = LINES | frozenset(["lorem ipsum", "sample page", "draft copy", "hello w
 _PROGRAM = re.compile(r"^(?:fatal error|traceback|warning|uncaught \w+|exception)\s*[:(].*$|^warning: \w+\([^)]*\).*$", re.I)
 _PROGRAM_KEYS = ("fatal error", "traceback", "warning", "uncaught ", "exception")
 _REPEAT = re.compile(r"^\W*(\w{2,})(?:\W+\1){3,}\W*$", re.I)
+#: Dummy Latin holds one of these.
+_LONGER = frozenset(w for w in LATIN if len(w) >= 4)
+#: Kinds of residue, as bits.
+PLACE, PROGRAM, REPEATS, NOTICE, FILLER = 1, 2, 4, 8, 16
+ALL = 31
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _OPENERS = tuple(dict.fromkeys(o for _, o, _ in GRAMMARS if o not in ("(", "[", "{")))
@@ -177,7 +182,8 @@ def _combines(bits: int) -> bool:
 
 def _filler(sentence: str) -> bool:
     words = _WORD.findall(sentence.lower())
-    return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words)
+    known = [w for w in words if w in LATIN]
+    return len(words) >= 4 and len(known) >= 0.6 * len(words) and not _LONGER.isdisjoint(known)
 
 
 def _notice(sentence: str) -> str | None:
@@ -205,18 +211,21 @@ def _notice(sentence: str) -> str | None:
     return None if not dummy and ABOUT.search(sentence) else "filler" if dummy else "notice"
 
 
-def residue_line(line: str) -> str | None:
-    """What kind of residue a whole line is, or holds as a whole sentence."""
+def residue_line(line: str, may: int = ALL) -> str | None:
+    """What kind of residue a whole line is, or holds as a whole sentence; ``may`` are the
+    kinds that ``may_hold`` leaves possible."""
     low = line.strip().lower()
-    if low in LINES or _PROGRAM.match(low):
+    if may & PROGRAM and (low in LINES or _PROGRAM.match(low)):
         return "program output"
-    if _REPEAT.match(low):
+    if may & REPEATS and _REPEAT.match(low):
         return "filler"
-    for sentence in _SENTENCE.split(line.strip()):
-        if kind := _notice(sentence):
-            return kind
-        if _filler(sentence):
-            return "filler"
+    notice, filler = may & NOTICE and _may_notice(low), may & FILLER and _may_fill(low)
+    if notice or filler:
+        for sentence in _SENTENCE.split(line.strip()):
+            if notice and (kind := _notice(sentence)):
+                return kind
+            if filler and _filler(sentence):
+                return "filler"
     return None
 
 
@@ -262,29 +271,31 @@ def _may_place(text: str, low: str) -> bool:
 def _may_fill(low: str) -> bool:
     """Whether two dummy-Latin words stand next to each other or but for one word;
     where they are 0.6 of four words or more, some do."""
-    known = [w in LATIN for w in _WORD.findall(low)]
+    words = _WORD.findall(low)
+    if _LONGER.isdisjoint(words):
+        return False
+    known = [w in LATIN for w in words]
     return any(x and (y or z) for x, y, z in zip(known, known[1:], [*known[2:], False]))
 
 
-def _may_stand(low: str, lines: list[str]) -> bool:
-    """False only if no whole line or sentence is residue; a cheap screen."""
-    coded = _BITS["code"] if _CODE.search(low) else 0
-    if any(k in low for k in _PROGRAM_KEYS) or any(x.strip() in LINES or _REPEAT.match(x) for x in lines) or _may_fill(low):
-        return True
-    return _combines(_LEXICON.within(low) | coded)
+def _may_notice(low: str) -> bool:
+    return _combines(_LEXICON.within(low) | (_BITS["code"] if _CODE.search(low) else 0))
 
 
-def may_hold(text: str) -> bool:
-    """False only if no line of the text is residue."""
+def may_hold(text: str) -> int:
+    """The kinds of residue a text may hold, a cheap screen: a kind it leaves out stands
+    in no line of the text."""
     low = text.lower()
-    return _may_place(text, low) or _may_stand(low, low.split("\n"))
+    lines = low.split("\n")
+    kinds = (_may_place(text, low), any(k in low for k in _PROGRAM_KEYS) or any(x.strip() in LINES for x in lines), any(_REPEAT.match(x) for x in lines), _may_notice(low), _may_fill(low))
+    return sum(bit for bit, holds in zip((PLACE, PROGRAM, REPEATS, NOTICE, FILLER), kinds) if holds)
 
 
-def line_holds(line: str) -> bool:
+def line_holds(line: str, may: int = ALL) -> bool:
     """Whether a line is residue or consists of one unfilled placeholder."""
-    if residue_line(line):
+    if residue_line(line, may):
         return True
-    return any((o in line or o == "goes here") and (m := g.search(line)) and len(m.group()) >= 0.6 * len(line.strip()) for _, o, g in GRAMMARS)
+    return bool(may & PLACE) and any((o in line or o == "goes here") and (m := g.search(line)) and len(m.group()) >= 0.6 * len(line.strip()) for _, o, g in GRAMMARS)
 
 
 def find_residue(text: str | None, title: bool = False) -> list[tuple[str, str]]:
@@ -292,14 +303,14 @@ def find_residue(text: str | None, title: bool = False) -> list[tuple[str, str]]
     if not text:
         return []
     out: list[tuple[str, str]] = []
-    low = text.lower()
-    if _may_place(text, low):
+    may = may_hold(text)
+    if may & PLACE:
         out += open_placeholders(text)
-    if title and re.sub(r"\s*\(\d+\)$", "", low.strip()) in TITLES:
+    if title and re.sub(r"\s*\(\d+\)$", "", text.lower().strip()) in TITLES:
         out.append(("title", text))
-    if _may_stand(low, low.split("\n")):
+    if may & ~PLACE:
         for line in text.split("\n"):
-            if line.strip() and (kind := residue_line(line)):
+            if line.strip() and (kind := residue_line(line, may)):
                 out.append((kind, line.strip()))
     return out
 
