@@ -236,8 +236,9 @@ def _smoothed(lang: np.ndarray, confidence: np.ndarray, letters: np.ndarray) ->
     return out
 
 
-def label(rows: DataFrame, model: Model, key: str = "id", title: str = "title", content: str = "content", share: float = 0.2, segments: bool = True) -> DataFrame:
-    """(key, title_lang, title_confidence, langs ARRAY<STRING>, confidence, segments).
+def label(rows: DataFrame, model: Model, key: str = "id", title: str = "title", content: str = "content", share: float = 0.2, segments: bool = True, keep: str | None = None) -> DataFrame:
+    """(key, title_lang, title_confidence, langs ARRAY<STRING>, confidence, segments, and
+    column ``keep`` unchanged).
 
     ``langs`` are the languages with at least ``share`` of the content's letters,
     most letters first; ``segments`` (start and stop in characters) is filled for
@@ -279,12 +280,14 @@ def label(rows: DataFrame, model: Model, key: str = "id", title: str = "title",
                             joined.append({"start": a, "stop": b, "lang": name, "confidence": float(c)})
                 parts.append(joined)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([names[k] if k >= 0 else "und" for k in t_lang]), pa.array(t_conf, pa.float32()), pa.array(langs, pa.list_(pa.string())), pa.array(sure, pa.float32()), pa.array(parts, _ARROW_SEGMENTS)],
-                names=[key, "title_lang", "title_confidence", "langs", "confidence", "segments"],
+                [batch.column(0), pa.array([names[k] if k >= 0 else "und" for k in t_lang]), pa.array(t_conf, pa.float32()), pa.array(langs, pa.list_(pa.string())), pa.array(sure, pa.float32()), pa.array(parts, _ARROW_SEGMENTS), *batch.columns[3:]],
+                names=[key, "title_lang", "title_confidence", "langs", "confidence", "segments", *kept],
             )
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, title, content).mapInArrow(run, f"{key} {kind}, title_lang STRING, title_confidence FLOAT, langs ARRAY<STRING>, confidence FLOAT, segments {SEGMENTS}")
+    kept = [keep] if keep else []
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, *kept)}
+    more = f", {keep} {kinds[keep]}" if keep else ""
+    return rows.select(key, title, content, *kept).mapInArrow(run, f"{key} {kinds[key]}, title_lang STRING, title_confidence FLOAT, langs ARRAY<STRING>, confidence FLOAT, segments {SEGMENTS}{more}")
 
 
 def label_of(metadata: str = "metadata_json"):
@@ -298,8 +301,7 @@ def wrong_labels(items: DataFrame, model: Model, least: int = 500) -> DataFrame:
     """(id, lang): a row for each language present in contents of at least
     ``least`` characters whose label is missing or wrong, or which are mixed."""
     rows = items.where(F.length("content") >= least)
-    found = label(rows.select("id", "title", "content"), model, segments=False).select("id", "langs")
-    stored = rows.select("id", label_of().alias("stored"))
-    joined = found.join(stored, "id")
+    named = rows.select("id", F.lit("").alias("title"), "content", label_of().alias("stored"))
+    found = label(named, model, segments=False, keep="stored")
     case = (F.size("langs") > 1) | ((F.size("langs") == 1) & (F.col("stored").isNull() | (F.col("stored") != F.get("langs", F.lit(0)))))
-    return joined.where(case).select("id", F.explode("langs").alias("lang"))
+    return found.where(case).select("id", F.explode("langs").alias("lang"))
