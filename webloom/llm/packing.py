@@ -27,6 +27,7 @@ from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,9 @@ def nnls(columns: np.ndarray, target: np.ndarray) -> np.ndarray:
     passive: list[int] = []
     member = np.zeros(n, bool)
     dense = np.zeros((len(target), 0))
+    # The inverse of dense.T @ dense and dense.T @ target follow each column that comes or goes.
+    inverse, right = np.zeros((0, 0)), np.zeros(0)
+    goal = residual.copy()
     scale = max(residual.max(), 1.0)
     for _ in range(3 * len(target)):
         gain = residual[columns].sum(1)
@@ -77,10 +81,14 @@ def nnls(columns: np.ndarray, target: np.ndarray) -> np.ndarray:
         member[j] = True
         column = np.bincount(columns[j], minlength=len(target)).astype(float)
         column[0] = 0
+        met = dense.T @ column
+        inverse = _with_row(inverse, met, column @ column + 1e-9)
+        right = np.append(right, column @ goal)
         dense = np.column_stack([dense, column])
+        if dense.shape[1] % 64 == 0:  # rounding errors do not pile up
+            inverse = np.linalg.inv(dense.T @ dense + 1e-9 * np.eye(dense.shape[1]))
         while True:
-            gram = dense.T @ dense + 1e-9 * np.eye(dense.shape[1])
-            best = np.linalg.solve(gram, dense.T @ np.r_[0.0, target[1:]])
+            best = inverse @ right
             if best.min() > 0:
                 break
             own = x[passive]
@@ -89,17 +97,33 @@ def nnls(columns: np.ndarray, target: np.ndarray) -> np.ndarray:
             own = own + step * (best - own)
             keep = own > 1e-10
             x[passive] = np.where(keep, own, 0)
-            dense = dense[:, keep]
+            for k in np.flatnonzero(~keep)[::-1]:
+                inverse = _without_row(inverse, k)
+            dense, right = dense[:, keep], right[keep]
             member[[p for p, k in zip(passive, keep) if not k]] = False
             passive = [p for p, k in zip(passive, keep) if k]
             if not passive:
                 best = np.zeros(0)
                 break
         x[passive] = best
-        residual = np.r_[0.0, target[1:] - (dense @ best)[1:]] if passive else np.r_[0.0, target[1:].astype(float)]
+        residual = goal - dense @ best if passive else goal.copy()
+        residual[0] = 0
     return x
 
 
+def _with_row(inverse: np.ndarray, met: np.ndarray, own: float) -> np.ndarray:
+    """The inverse of a symmetric matrix that gets one more row and column."""
+    part = inverse @ met
+    rest = 1 / max(own - met @ part, 1e-12)
+    return np.block([[inverse + rest * np.outer(part, part), -rest * part[:, None]], [-rest * part[None, :], np.full((1, 1), rest)]])
+
+
+def _without_row(inverse: np.ndarray, k: int) -> np.ndarray:
+    """The inverse of a symmetric matrix that loses a row and its column."""
+    kept = np.arange(len(inverse)) != k
+    return inverse[np.ix_(kept, kept)] - np.outer(inverse[kept, k], inverse[k, kept]) / inverse[k, k]
+
+
 class Stock:
     """Items left: by part beyond whole windows, by whole windows."""
 
@@ -252,16 +276,32 @@ def pieces(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id") -> DataFra
     return every.select("budget_id", "capacity", key, "piece", start.alias("token_start"), F.least("capacity", F.col("_all") - start).alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", chunks: int = 64) -> DataFrame:
+def plans(histogram: DataFrame) -> DataFrame:
+    """(budget_id, n_tokens, first, container, per): the slots of each length in each
+    capacity, from (budget_id, capacity, n_tokens, count). Each capacity is a task of its
+    own; it has at most as many rows as tokens."""
+    kind = histogram.schema["budget_id"].dataType.simpleString()
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = slots(plan(dict(zip(pdf["n_tokens"].tolist(), pdf["count"].tolist())), int(pdf["capacity"].iloc[0])))
+        rows = [(pdf["budget_id"].iloc[0], length, *slot) for length, found in own.items() for slot in found]
+        return pd.DataFrame(rows, columns=["budget_id", "n_tokens", "first", "container", "per"])
+
+    return histogram.groupBy("budget_id", "capacity").applyInPandas(make, f"budget_id {kind}, n_tokens BIGINT, first BIGINT, container BIGINT, per BIGINT")
+
+
+def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
     """(budget_id, container_id, key, piece, token_start, n_tokens): each item of
-    ``sizes`` (key, n_tokens) in a container of each of ``budgets``."""
+    ``sizes`` (key, n_tokens) in a container of each of ``budgets``. A length is numbered
+    in as many chunks as keep one below ``most`` items."""
     items = stored(pieces(sizes, budgets, key), "items")
-    # At most as many rows as the capacities add up to.
-    histogram: dict[tuple, dict[int, int]] = defaultdict(dict)
-    for budget, capacity, length, n in items.where("n_tokens > 0").groupBy("budget_id", "capacity", "n_tokens").count().collect():
-        histogram[budget, capacity][length] = n
-    made = {(budget, length): own for (budget, capacity), lengths in histogram.items() for length, own in slots(plan(lengths, capacity)).items()}
-    held = shipped(sizes.sparkSession, {k: tuple(np.array(v).T) for k, v in made.items()})
+    counted = stored(items.where("n_tokens > 0").groupBy("budget_id", "capacity", "n_tokens").count().repartition("budget_id"), "histogram")
+    # At most as many rows as the capacities add up to, and the slots of a bounded plan.
+    made: dict[tuple, list] = defaultdict(list)
+    for budget, length, *slot in plans(counted).collect():
+        made[budget, length].append(slot)
+    held = shipped(sizes.sparkSession, {k: tuple(np.array(sorted(v)).T) for k, v in made.items()})
+    chunks = max(64, (counted.agg(F.max("count")).first()[0] or 0) // most)
 
     chunk = F.pmod(F.xxhash64(key, "piece"), F.lit(chunks)).alias("_chunk")
     chunked = items.select("*", chunk)
