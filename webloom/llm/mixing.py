@@ -83,23 +83,25 @@ def domain_of(source: str):
 
 
 def source_budgets(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """(source, domain, language, target_share, max_repeats, available, budget): a
+    """(source, domain, language, target_share, max_repeats, available, budget, texts): a
     row a target. ``sizes`` is (doc_id, source, lang, n_tokens)."""
     lang = F.lower(F.regexp_extract("lang", r"^([A-Za-z]+)", 1))
-    by = sizes.groupBy("source", F.when(lang != "", lang).alias("language")).agg(F.sum("n_tokens").alias("t"))
-    stats = by.groupBy("source").agg(F.sum("t").alias("available"), F.max_by("language", F.struct(F.when(F.col("language").isNotNull(), F.col("t")), "language")).alias("language"))
+    by = sizes.groupBy("source", F.when(lang != "", lang).alias("language")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    stats = by.groupBy("source").agg(F.sum("t").alias("available"), F.sum("n").alias("texts"), F.max_by("language", F.struct(F.when(F.col("language").isNotNull(), F.col("t")), "language")).alias("language"))
     goals = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    known = goals.join(stats, "source", "left").select("source", domain_of("source").alias("domain"), F.coalesce("language", F.lit("und")).alias("language"), "available", "target_share", "max_repeats")
+    known = goals.join(stats, "source", "left").select("source", domain_of("source").alias("domain"), F.coalesce("language", F.lit("und")).alias("language"), "available", "target_share", "max_repeats", "texts")
     rows = [tuple(r) for r in known.collect()]  # a row a target
-    drawn = budgets([(s, d, v, t, w, m) for s, d, v, t, w, m in rows], total)
-    out = [(s, d, v, float(w or 0), int(m or 1), int(t or 0), float(drawn[s])) for s, d, v, t, w, m in rows]
-    return sizes.sparkSession.createDataFrame(out, "source STRING, domain STRING, language STRING, target_share DOUBLE, max_repeats INT, available BIGINT, budget DOUBLE")
+    drawn = budgets([r[:6] for r in rows], total)
+    out = [(s, d, v, float(w or 0), int(m or 1), int(t or 0), float(drawn[s]), int(n or 0)) for s, d, v, t, w, m, n in rows]
+    return sizes.sparkSession.createDataFrame(out, "source STRING, domain STRING, language STRING, target_share DOUBLE, max_repeats INT, available BIGINT, budget DOUBLE, texts BIGINT")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, buckets: int | None = None, most: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(drawn, leaves): drawn (doc_id, source, n_tokens, repeats) holds every text of
-    the collection, leaves the budgets."""
+    the collection, leaves the budgets. There are as many buckets as keep one of the
+    largest source below ``most`` texts, so the bucket where a budget ends is a small sort."""
     leaves = source_budgets(sizes, targets, total)
+    buckets = buckets or max(1024, (leaves.agg(F.max("texts")).first()[0] or 0) // most)
     wanted = leaves.where("budget > 0 AND available > 0").select("source", F.floor(F.col("budget") / F.col("available")).alias("_passes"), (F.col("budget") % F.col("available")).alias("_rest"))
     rows = sizes.where("n_tokens > 0").join(F.broadcast(wanted), "source")  # a row a target
     order = F.xxhash64(F.lit(seed), "_passes", "doc_id")
@@ -119,6 +121,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
 def shares(drawn: DataFrame, leaves: DataFrame) -> DataFrame:
     """(source, domain, language, target_share, actual_share, tokens, texts, repeats,
     max_repeats): what each target reached."""
+    leaves = leaves.drop("texts")
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("texts"), F.max("repeats").alias("repeats"))
     known = leaves.join(got, "source", "left").fillna(0, ["tokens", "texts", "repeats"])
     all_ = known.agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("_all"))

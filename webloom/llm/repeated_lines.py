@@ -9,8 +9,9 @@ prefix can cross.
 
 The array is distributed by its suffixes' first identifier: suffixes are counted
 first (equal ones become one row with a weight), then each bucket is sorted, and
-the longest common prefixes of neighbours give the blocks. A bucket holds the
-distinct continuations of one common line, not its occurrences.
+the longest common prefixes of neighbours give the blocks. A bucket holds the distinct
+suffixes that begin with the same two common lines, not their occurrences; single lines
+are counted over all of theirs.
 
 Defined results: null contents have no lines, an empty one counts as a document;
 lines without letters are never common; of a document's equal lines each
@@ -76,7 +77,11 @@ def repeated_blocks(lines: DataFrame, common: DataFrame, source: str, least: int
              i -> slice(_runs, i + 1, coalesce(nullif(array_position(transform(slice(_runs, i + 1, size(_runs)), x -> x IS NULL), true), 0) - 1, size(_runs))))"""
     )
     every = runs.where(F.size("_runs") > 0).select(source, F.explode(suffixes).alias("suffix"))
-    weighed = every.groupBy(source, "suffix").agg(F.count("*").alias("docs")).withColumn("first", F.get("suffix", F.lit(0)))
+    weighed = every.groupBy(source, "suffix").agg(F.count("*").alias("docs"))
+    weighed = weighed.withColumn("first", F.get("suffix", F.lit(0))).withColumn("second", F.get("suffix", F.lit(1)))
+    # A line is a block of its own unless the same line follows it everywhere.
+    lone = weighed.groupBy(source, "first").agg(F.sum("docs").alias("docs"), (F.count_if(F.col("second").isNull()) > 0).alias("_ends"), (F.min("second") != F.max("second")).alias("_parts"))
+    single = lone.where((F.col("docs") >= least) & (F.col("_ends") | F.col("_parts"))).select(source, F.array("first").alias("block"), "docs")
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         array = sorted(zip((tuple(x) for x in pdf["suffix"]), pdf["docs"]))
@@ -103,7 +108,8 @@ def repeated_blocks(lines: DataFrame, common: DataFrame, source: str, least: int
         return pd.DataFrame({source: [pdf[source].iloc[0]] * len(found), "block": pd.Series([list(x) for x, _ in found], dtype=object), "docs": pd.Series([d for _, d in found], dtype="int64")})
 
     kind = lines.schema[source].dataType.simpleString()
-    return weighed.groupBy(source, "first").applyInPandas(bucket, f"{source} {kind}, block ARRAY<BIGINT>, docs BIGINT")
+    longer = weighed.where(F.col("second").isNotNull()).groupBy(source, "first", "second").applyInPandas(bucket, f"{source} {kind}, block ARRAY<BIGINT>, docs BIGINT")
+    return single.unionByName(longer)
 
 
 def repeated(docs: DataFrame, source: str, key: str, content: str, least: int = 4, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
