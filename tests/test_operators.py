@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from webloom import session
 from webloom.functions import processors as proc
 from webloom.functions import records, urls
 from webloom.functions.html import dom, pages, selectors
@@ -64,11 +65,13 @@ def test_html():
     assert selectors.css(root, ".price::attr(data-v)") == ["1"]
     assert selectors.xpath(root, "//div[@class='item'][2]/span/text()") == ["$20"]
     assert selectors.xpath(root, "//h2[text()='P1']/following-sibling::span[1]/text()") == ["$10"]
-    assert pages.nested(root, {"rows": ".item", "fields": {"n": {"css": "h2::text"}}}) == [{"n": "P1"}, {"n": "P2"}]
-    assert pages.nested(root, {"rows": ".item", "fields": {}}, depth=3) == []
+    rows = {"selector": ".item", "extract": {"n": {"css": "h2::text", "processors": [{"type": "lowercase"}]}}}
+    assert pages.nested(root, rows) == [{"n": "p1"}, {"n": "p2"}]
+    assert pages.nested(root, rows, depth=3) == pages.nested(root, {"selector": ".item"}) == []
     assert pages.meta_date(root) == "2026-02-22T16:00:00"
     assert pages.meta_author(root) == "A, B"
-    assert pages.to_text(root, "article p") == "Hello world of text that is long enough Second para with more text"
+    assert pages.to_text(root, "article") == "Head Hello world of text that is long enough Second para with more text"
+    assert pages.to_text(root, "article p") == "world" and pages.to_text(root, "article p", own=True) == "Hello world of text that is long enough Second para with more text"
     assert "**world**" in pages.to_markdown(selectors.css_nodes(root, "article")[0])
     assert pages.article(root)["title"] == "Head"
     assert pages.pdf_links(root, "https://a.example/") == [{"url": "https://a.example/d.pdf?x", "title": "d.pdf"}]
@@ -76,29 +79,34 @@ def test_html():
     assert pages.found_by_text(root, "P2")[0]["text"] == "P2"
     assert pages.found_by_keyword(root, "price") == [{"selector": "span.price", "text": "$10"}, {"selector": "span.price", "text": "$20"}]
     assert pages.structure(root)["h1"] == ["Head"]
-    assert pages.first_accepted(root, ["custom", "strict"], selectors_={"title": "h9", "content": "h9"})["title"] == "Head"
-    assert pages.first_accepted(dom.parse("<p>"), ["strict", "text"]) is None
+    assert pages.first_accepted(root, ["custom", "newspaper"], chosen={"title": "h9", "content": "h9"})["title"] == "Head"
+    assert pages.first_accepted(dom.parse("<p>"), ["newspaper", "trafilatura"]) is None
+    assert pages.links(root, "https://a.example/", paths=["//div"]) == pages.links(root, "https://a.example/", within=["article"]) == [] and len(pages.links(root, "https://a.example/")) == 1
+    assert pages.compared(root)["newspaper"]["title"] == "Head" and pages.pdf_items(root, "https://a.example/")[0]["metadata"]["content_type"] == "pdf"
 
 
 @given(st.text(alphabet="<>/ab=\"' &;!-pdiv", max_size=200))
 def test_any_text_parses(text):
     root = dom.parse(text)
-    pages.article(root)
+    pages.first_accepted(root)
     pages.to_markdown(root)
 
 
+BASE = {"name": "demo", "source_url": "https://a.example/", "allowed_domains": ["a.example"], "start_urls": ["https://a.example/"]}
+
+
 def test_config(spark):
     schema = [{"name": "title", "required": True}, {"name": "sku"}, {"name": "price", "required": True}]
-    c = {"name": "demo", "sections": [{"match": "/story/", "extract": "auto", "priority": 5}, {"match": ["/item/"], "extract": {"title": "h1::text", "price": {"css": ".price::text", "processors": [{"type": "regex", "pattern": r"\$(\d+)"}, {"type": "cast", "to": "int"}]}}}, {"match": "/list/"}]}
+    c = {**BASE, "sections": [{"match": ["/story/"], "extract": "auto", "priority": 5}, {"match": ["/item/"], "extract": {"title": {"css": "h1::text"}, "price": {"css": ".price::text", "processors": [{"type": "regex", "pattern": r"\$(\d+)"}, {"type": "cast", "to": "int"}]}}}, {"match": ["/list/"]}]}
     df = spark.createDataFrame([("https://a.example/item/1", PAGE), ("https://a.example/story/1", PAGE), ("https://a.example/list/1", PAGE)], "url STRING, html STRING")
     rows = {r.url[-6:]: r for r in config.records(df, c, schema).collect()}
     assert (rows["item/1"].price, rows["item/1"].title, rows["item/1"].sku) == (10, "Head", None)
     assert rows["tory/1"].title == "Head" and len(rows) == 2
-    assert config.coverage(config.expand_sections(c), [{"name": "byline", "required": True}, {"name": "title", "required": True}]) == ["byline"]
-    bad = config.validate({"name": "a b", "rules": [{"allow": ["("], "callback": "nope", "priority": 2000}], "settings": {"DOWNLOAD_DELAY": 61}, "x": 1})
-    assert len(bad) == 6
+    whole = config.records(df, {**BASE, "rules": [{"callback": "parse_article"}]}, include_html=True).first()
+    assert whole.html == PAGE and whole.source == "trafilatura" and json.loads(whole.images) == []
     with pytest.raises(config.ConfigError):
-        config.expand_sections({"sections": [{"match": "a", "extract": {"auto": True}}] * 2})
+        config.records(df, {**BASE, "name": "a b"})
+    assert config.reader_order({"EXTRACTOR_ORDER": "['custom']", "INFINITE_SCROLL": True}) == ["custom", "playwright"]
 
 
 def test_routing_and_lanes(spark):
@@ -117,6 +125,8 @@ def test_fleet(spark):
     verdicts = spark.createDataFrame([(1, 5, "passed"), (2, 1, "crawling")], "spider_id INT, items INT, verdict STRING")
     report = stats.health_report(verdicts)
     assert report.index("- 2: crawling") < report.index("- 1: passed")
+    many = spark.range(3000).selectExpr("CAST(id AS INT) AS spider_id", "3 AS items", "'passed' AS verdict")
+    assert stats.health_report(many).count("\n- ") == 3000
     assert one(spark, ["https://web.archive.org/web/20240131123456/https://www.a.example/x", "https://a.example"], urls.archived) == [("20240131", "a.example"), (None, None)]
 
 
@@ -144,7 +154,7 @@ def test_files(spark, tmp_path):
 
 def test_streams(spark, sf, tmp_path):
     """The stream gives what the batch form gives."""
-    batch = spark.read.parquet(f"{sf}/events.parquet").withColumn("blocked", F.col("event_type") == "error").coalesce(1).sortWithinPartitions("ts", "event_id")
+    batch = spark.read.parquet(f"{sf}/events.parquet").withColumn("blocked", F.col("event_type") == "error").repartition(5)
     batch.write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
 
@@ -153,11 +163,63 @@ def test_streams(spark, sf, tmp_path):
         q.awaitTermination()
         return spark.table(name)
 
-    learned = run(streams.block_learning(read(), "user_id", "blocked"), "learned")
+    learned = run(streams.block_learning(read(), "user_id", "blocked", ["ts", "event_id"]), "learned")
     want = stats.block_learning(batch, "user_id", ["ts", "event_id"], F.col("blocked"))
     pick = lambda df: sorted((r.event_id, r.via_proxy, r.failed) for r in df.select("event_id", "via_proxy", "failed").collect())
     assert pick(learned) == pick(want)
-    fresh = run(streams.not_stored_before(read().withColumn("s", F.lit(True)), ["user_id", "event_type"], "s"), "fresh")
-    assert fresh.count() == batch.select("user_id", "event_type").distinct().count()
+    fresh = run(streams.not_stored_before(read().withColumn("s", F.lit(True)), ["user_id", "event_type"], "s", ["ts", "event_id"]), "fresh")
+    firsts = stats.not_stored_before(batch, ["user_id", "event_type"], ["ts", "event_id"], F.lit(True))
+    assert {r.event_id for r in fresh.collect()} == {r.event_id for r in firsts.collect()}
     once = run(streams.without_repeats(streams.timed(read()), ["user_id"]), "once")
     assert once.count() >= batch.select("user_id").distinct().count()
+    through = run(streams.without_repeats(streams.timed(read()), ["user_id"], F.col("blocked")), "through")
+    assert through.where("blocked").count() == batch.where("blocked").count()
+
+
+def test_state_matches_windows(spark):
+    """First moments against the plain window, with null keys, ties in time and hot keys."""
+    from pyspark.sql import Window
+
+    rows = [(n, None if n % 11 == 0 else "hot" if n % 3 else f"d{n % 7}", n // 2, n % 13 == 5) for n in range(400)]
+    log = spark.createDataFrame(rows, "n INT, d STRING, t INT, b BOOLEAN").withColumn("_first", F.lit("clash")).drop("_first")
+    w = Window.partitionBy("d").orderBy("t", "n").rowsBetween(Window.unboundedPreceding, -1)
+    want = log.withColumn("via_proxy", F.coalesce(F.max("b").over(w), F.lit(False)))
+    got = stats.block_learning(log, "d", ["t", "n"], F.col("b"))
+    assert sorted((r.n, r.via_proxy) for r in got.collect()) == sorted((r.n, r.via_proxy) for r in want.collect())
+    kept = stats.not_stored_before(log, ["d"], ["t", "n"], F.col("b"))
+    assert sorted(r.n for r in kept.collect()) == sorted(r.n for r in want.where("NOT via_proxy").collect())
+    assert stats.block_learning(log.limit(0), "d", ["t", "n"], F.col("b")).count() == 0
+
+
+def test_deep_comments(spark):
+    chain = spark.range(1, 201).selectExpr("id", "id - 1 AS parent_id")
+    assert sorted(r.depth for r in stats.comment_tree(chain).collect()) == list(range(200))
+    assert stats.comment_tree(chain.limit(0)).count() == 0
+
+
+def test_scratch_folder_needs_a_shared_one():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
+
+
+def test_sql_gate(spark):
+    known = ("orders", "t")
+    for text in ("SELECT * FROM secret", "SELECT 1 FROM orders o, secret s", "WITH a AS (SELECT 1) SELECT * FROM a JOIN b USING (x)", "SELECT (SELECT max(x) FROM hidden) FROM orders"):
+        with pytest.raises(ValueError, match="unknown"):
+            store.checked_sql(spark, text, known)
+    assert store._named_tables("WITH a AS (SELECT 'from x' AS v FROM orders), b(c) AS (SELECT 1) SELECT * FROM a, b, orders o LEFT JOIN (SELECT * FROM t) u ON true -- from nothing") == {"orders", "t"}
+    spark.createDataFrame([(1, "x", 5), (2, None, 6)], "id INT, status STRING, priority INT").createOrReplaceTempView("crawl_queue")
+    got = store.rewritten(spark, "UPDATE crawl_queue SET status = 'a, b = c', priority = priority * 2 WHERE status IS NOT NULL")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a, b = c", 10), (2, None, 6)]
+    for text in ("UPDATE crawl_queue SET nope = 1", "DELETE FROM secret", "INSERT INTO crawl_queue VALUES (1)"):
+        with pytest.raises(ValueError):
+            store.rewritten(spark, text)

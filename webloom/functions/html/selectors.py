@@ -98,6 +98,16 @@ _AXIS = re.compile(r"(//|/|^)(?:(following-sibling|descendant|child|parent)::)?(
 
 
 def xpath(root: Node, path: str) -> list[str]:
+    """Texts, attribute values and the elements' HTML of a path."""
+    return [x if isinstance(x, str) else to_html(x) for x in _walked(root, path)]
+
+
+def xpath_nodes(root: Node, path: str) -> list[Node]:
+    """Elements of a path."""
+    return [x for x in _walked(root, path) if isinstance(x, Node)]
+
+
+def _walked(root: Node, path: str) -> list:
     """Paths of child and descendant steps, predicates on attributes, positions,
     ``contains`` and text, a following-sibling axis, and text() or @name at the end."""
     nodes: list = [root]
@@ -133,7 +143,7 @@ def xpath(root: Node, path: str) -> list[str]:
             found += own
         seen: set[int] = set()
         nodes = [x for x in found if isinstance(x, str) or not (id(x) in seen or seen.add(id(x)))]
-    return [x if isinstance(x, str) else to_html(x) for x in nodes]
+    return nodes
 
 
 def _filtered(nodes: list[Node], test: str, by_parent: bool) -> list[Node]:

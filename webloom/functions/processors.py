@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +54,21 @@ def regex(c: Column, pattern: str, group: int = 1) -> Column:
         return c
     java = java_pattern(pattern)
     found = F.regexp_extract(c, java, group)
-    optional = group and re.search(r"\)[?*]|\|", pattern)
-    return F.when(c.rlike(java), F.nullif(found, F.lit("")) if optional else found).otherwise(c)
+    if group and re.search(r"\)[?*]|\|", pattern):
+        found = _optional(c, pattern, group, found)
+    return F.when(c.rlike(java), found).otherwise(c)
+
+
+def _optional(c: Column, pattern: str, group: int, found: Column) -> Column:
+    """An optional group's text; where it is empty, one Arrow call tells a group that matched
+    nothing from one that stayed out."""
+
+    @F.pandas_udf("boolean")
+    def took_part(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        return pd.Series([t is not None and (m := compiled.search(t)) is not None and m.group(group) is not None for t in texts])
+
+    return F.when(found != "", found).when(took_part(F.when(found == "", c)), found)
 
 
 def cast(c: Column, to: str, kind: str = "string") -> Column:
@@ -77,8 +91,12 @@ def cast(c: Column, to: str, kind: str = "string") -> Column:
 
 
 def join(c: Column, separator: str = " ", many: bool = True) -> Column:
-    """A list as one text, nulls left out; anything else as it is."""
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), separator) if many else c
+    """A list as one text, nulls left out; anything else as it is. Truth values are written
+    True and False."""
+    if not many:
+        return c
+    text = F.transform(c, lambda x: F.when(F.typeof(x) == "boolean", F.initcap(x.cast("string"))).otherwise(x.cast("string")))
+    return F.array_join(text, separator)
 
 
 def default(c: Column, value: Any, kind: str = "string", many: bool = False) -> Column:
@@ -93,16 +111,31 @@ def lowercase(c: Column, many: bool = False) -> Column:
     return _each(c, many, F.lower)
 
 
-def parse_datetime(c: Column, format: str | None = None) -> Column:
-    """A timestamp without zone. With a format only that format; else ISO forms
-    (an offset is converted to UTC) and the usual day and month orders."""
+def parse_datetime(c: Column, format: str | None = None, languages: list[str] | None = None, as_of: Column | None = None) -> Column:
+    """A timestamp without zone. With a format only that format. Else the free-text reader:
+    ISO forms, day and month orders (month first where all is numeric), month names in nine
+    languages, zones and offsets converted to UTC, numbers since 1970; with ``as_of`` also
+    ``n days ago``, ``yesterday`` and the like in English. ``languages`` is accepted: names
+    of months differ enough to need no choice."""
     bare = F.regexp_replace(c, _EDGES, "")
     if format:
         literal = re.sub(r"%[A-Za-z%]|[A-Za-z]+", lambda m: DIRECTIVES.get(m.group(), "") if m.group()[0] == "%" else f"'{m.group()}'", format)
         return F.try_to_timestamp(bare, F.lit(literal)).cast("timestamp_ntz")
-    iso = F.when(bare.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), bare.try_cast("timestamp").cast("timestamp_ntz"))
-    forms = ("MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss", "yyyy/MM/dd")
-    return F.coalesce(iso, *[F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in forms])
+    from webloom.operators.timestamps import read_instant
+
+    found = read_instant(bare, "MDY")
+    if as_of is None:
+        return found
+    low = F.lower(bare)
+    ago = r"^(?:about |around )?(\d+|an?) (second|minute|hour|day|week|month|year)s? ago$"
+    n = F.when(F.regexp_extract(low, ago, 1).startswith("a"), 1).otherwise(F.regexp_extract(low, ago, 1).try_cast("int"))
+    unit = F.regexp_extract(low, ago, 2)
+    at = as_of.cast("timestamp_ntz")
+    months = F.when(unit == "month", n).when(unit == "year", 12 * n)
+    seconds = n * F.when(unit == "second", 1).when(unit == "minute", 60).when(unit == "hour", 3600).when(unit == "day", 86400).when(unit == "week", 604800)
+    past = F.coalesce(F.when(months.isNotNull(), at - F.make_ym_interval(F.lit(0), months)), F.timestamp_add("SECOND", -seconds, at))
+    word = F.when(low == "yesterday", F.timestamp_add("DAY", F.lit(-1), at)).when(low.isin("today", "now", "just now"), at)
+    return F.coalesce(found, F.when(low.rlike(ago), past), word)
 
 
 def chain(c: Column, steps: list[dict[str, Any]], many: bool = False) -> Column:
@@ -127,5 +160,5 @@ def chain(c: Column, steps: list[dict[str, Any]], many: bool = False) -> Column:
         elif name == "lowercase" and kind == "string":
             c = lowercase(c, many)
         elif name == "parse_datetime" and kind == "string" and not many:
-            c, kind = parse_datetime(c, options.get("format")), "timestamp"
+            c, kind = parse_datetime(c, options.get("format"), options.get("languages")), "timestamp"
     return c

@@ -30,17 +30,42 @@ def joined_authors(names: Column) -> Column:
 
 
 def clean_pdf_text(c: Column) -> Column:
-    """Text of a PDF: soft hyphens go, words broken at line ends and lines broken
-    within sentences are joined, blanks and empty lines are thinned out."""
+    """Text of a PDF: soft hyphens go with a line break behind them, words broken at line
+    ends and lines broken within sentences are joined, blanks and empty lines are
+    thinned out."""
+    gap = r"[ \t]*\n[ \t]*"
     c = F.regexp_replace(c, "\r\n?", "\n")
-    c = F.replace(c, F.lit("\u00ad"), F.lit(""))
-    c = F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")
-    c = F.regexp_replace(c, r"(?U)([^\n.!?:])\n(?=[\p{Ll}])", "$1 ")
+    c = F.regexp_replace(c, r"\u00ad[ \t]*\n?[ \t]*", "")
+    c = F.regexp_replace(c, rf"(?U)(\w)-{gap}(\w)", "$1$2")
+    c = F.regexp_replace(c, rf"([^\n.!?:;]){gap}([a-z])", "$1 $2")
     c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = F.regexp_replace(c, r"\n +", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip(c)
 
 
+def pdf_text(data: Column) -> Column:
+    """The cleaned text of PDF bytes: the pages' texts, a line break between them. Empty
+    for other bytes, PDFs without text, and where no PDF library is installed."""
+
+    @F.pandas_udf("string")
+    def read(files: pd.Series) -> pd.Series:
+        try:
+            import pypdfium2
+        except ImportError:
+            return pd.Series([""] * len(files), dtype=object)
+        out = []
+        for data in files:
+            try:
+                pages = pypdfium2.PdfDocument(bytes(data)) if data else []
+                out.append("\n".join(pages[n].get_textpage().get_text_range() for n in range(len(pages))))
+            except Exception:  # whatever a broken file makes the library raise
+                out.append("")
+        return pd.Series(out, dtype=object)
+
+    return clean_pdf_text(read(data))
+
+
 def decoded_setting(value: Column) -> Column:
     """A stored setting as JSON text: JSON as it is, then true and false in any
     case, then whole numbers, else a text."""
@@ -60,6 +85,21 @@ def ago(seconds: Column) -> Column:
     return F.when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
 
 
+def truncated_list(c: Column, most: int = 3) -> Column:
+    """A list as JSON, a longer one by its number of items."""
+    return F.when(F.size(c) > most, F.concat(F.lit("["), F.size(c).cast("string"), F.lit(" items]"))).otherwise(F.to_json(c))
+
+
+def query_string(c: Column) -> Column:
+    """A map as a URL's query, keys and values encoded."""
+    return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")
+
+
+def crawl_stamp(c: Column) -> Column:
+    """The day of a time as crawl files name it."""
+    return F.date_format(c, "ddMMyyyy")
+
+
 def truncated(c: Column, length: int = 100) -> Column:
     return F.when(F.length(c) > length, F.concat(F.left(c, F.lit(length)), F.lit("..."))).otherwise(c)
 

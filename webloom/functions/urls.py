@@ -72,10 +72,25 @@ def archived(url: Column) -> Column:
 
 
 def fetchable(url: Column) -> Column:
-    """http(s), a host that is no private or local literal, at most 2048 characters.
-    Names are not resolved."""
+    """http(s), a host that is no private, local or reserved address, at most 2048
+    characters. Addresses are read in dotted form, as one number, in octal and hex, and as
+    IPv6, mapped ones too. Names are not resolved."""
     host = hostname(url)
-    local = host.rlike(r"^(localhost|.*\.localhost|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2\d|3[01])\..*|\[(::1?|f[cd].*|fe[89ab].*)\])$")
+    number = lambda x: F.when(x.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(x, 3, 16), 16, 10)).when(x.rlike("^0[0-7]{1,11}$"), F.conv(x, 8, 10)).when(x.rlike(r"^\d{1,10}$"), x).try_cast("bigint")
+    parts = F.transform(F.split(host, r"\."), number)
+    n = F.size(parts)
+    whole = F.when(n == 1, F.get(parts, F.lit(0)))
+    for k in (2, 3, 4):  # the last part fills what the others leave
+        own = F.get(parts, F.lit(k - 1))
+        for place in range(k - 1):
+            own = own + F.get(parts, F.lit(place)) * (256 ** (3 - place))
+        whole = F.when(n == k, own).otherwise(whole)
+    whole = F.when(n <= 4, whole)
+    dotted = F.when(whole.between(0, 4294967295), F.concat_ws(".", *[(F.floor(whole / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)]))
+    mapped = F.regexp_extract(host, r"^\[(?:::ffff:)(\d+\.\d+\.\d+\.\d+)\]$", 1)
+    address = F.coalesce(F.nullif(mapped, F.lit("")), dotted)
+    private = address.rlike(r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^(169\.254|192\.168|172\.(1[6-9]|2\d|3[01])|192\.0\.[02]|198\.1[89]|198\.51\.100|203\.0\.113)\.")
+    local = host.rlike(r"^(localhost|.*\.localhost|\[(::1?|f[cd].*|fe[89ab].*)\])$") | F.coalesce(private, F.lit(False))
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#]+") & ~local & (F.length(url) <= 2048), F.lit(False))
 
 

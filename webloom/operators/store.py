@@ -5,6 +5,7 @@ Every mutator takes snapshots and gives the next one; the caller writes it.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,10 +50,25 @@ def latest(items: DataFrame, n: int) -> DataFrame:
     return items.orderBy(F.col("scraped_at").desc_nulls_last(), "id").limit(n)
 
 
-def queue_open(queue: DataFrame, status: str | None = None, every: bool = False) -> DataFrame:
+def spider_named(spiders: DataFrame, name: str, project: str) -> DataFrame:
+    """The spider of a name and project, the one of smallest id if there are several."""
+    return spiders.where((F.col("name") == name) & (F.col("project") == project)).orderBy("id").limit(1)
+
+
+def spiders_of(spiders: DataFrame, project: str | None = None) -> DataFrame:
+    """Spiders by name, of one project or of all."""
+    return (spiders.where(F.col("project") == project) if project else spiders).orderBy("name", "project")
+
+
+def queue_open(queue: DataFrame, status: str | None = None, every: bool = False, limit: int = 0) -> DataFrame:
+    """Entries of a status, else the open ones or all, the most urgent first; a ``limit`` of
+    0 lists all."""
     if status:
-        return queue.where(F.col("status") == status)
-    return queue if every else queue.where(F.col("status").isin("pending", "processing"))
+        queue = queue.where(F.col("status") == status)
+    elif not every:
+        queue = queue.where(F.col("status").isin("pending", "processing"))
+    queue = queue.orderBy(F.col("priority").desc(), "created_at", "id")
+    return queue.limit(limit) if limit else queue
 
 
 def queue_next(queue: DataFrame, limit: int = 1) -> DataFrame:
@@ -130,26 +146,128 @@ def remapped(parent: DataFrame, child: DataFrame, first_id: int = 1) -> tuple[Da
     return moved, children
 
 
-def flattened(items: DataFrame, fields: list[str], metadata: str = "metadata_json") -> DataFrame:
-    """Items with fields of their metadata as columns, unless the name is taken."""
-    new = [f for f in fields if f not in items.columns and f != "_callback"]
-    return items.select(*[c for c in items.columns if c != metadata], *[F.get_json_object(metadata, f"$.{f}").alias(f) for f in sorted(new)])
-
-
-def checked_sql(spark: SparkSession, text: str) -> DataFrame:
-    """A SELECT over the registered tables; anything else is refused."""
+# The fields of an item that are columns of the store or bookkeeping, those
+# never stored, and the columns exports put first.
+STANDARD = ("url", "title", "content", "author", "published_date", "spider_id", "spider_name", "source", "metadata", "html", "extracted_at", "_callback", "scraped_at")
+INTERNAL = ("clean_html",)
+CORE = ("title", "content", "author", "published_date")
+
+
+def _member(name: str, c: Column) -> Column:
+    """``"name":value`` as JSON; timestamps in ISO form at any depth, nulls kept."""
+    text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"})
+    text = F.regexp_replace(text, r'(T\d\d:\d\d:\d\d)\.000000"', '$1"')
+    return F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), text.substr(F.lit(6), F.length(text) - 6))
+
+
+def packed(items: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Items as the store keeps them: standard fields as columns, all others as members
+    of ``metadata_json``. Members that ``metadata`` (JSON) already has win over fields."""
+    others = [c for c in items.columns if c not in STANDARD and c not in INTERNAL]
+    known = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>")) if metadata in items.columns else F.array().cast("array<string>")
+    inner = F.when(F.size(known) > 0, F.regexp_extract(metadata, r"(?s)^\s*\{(.*)\}\s*$", 1)) if metadata in items.columns else F.lit(None).cast("string")
+    members = [F.when(~F.array_contains(known, c), _member(c, F.col(c))) for c in others]
+    if "_callback" in items.columns:
+        members.append(F.when(F.col("_callback").isNotNull(), _member("_callback", F.col("_callback"))))
+    joined = F.array_join(F.filter(F.array(inner, *members), lambda m: m.isNotNull()), ",")
+    return items.select(*[c for c in ("spider_id", "url", *CORE) if c in items.columns], F.concat(F.lit("{"), joined, F.lit("}")).alias("metadata_json"))
+
+
+def metadata_keys(items: DataFrame, metadata: str = "metadata_json") -> list[str]:
+    """The member names of all metadata, sorted. They are fields of configurations, so
+    their number does not grow with the rows."""
+    return sorted(r[0] for r in items.select(F.explode(F.json_object_keys(metadata)).alias("k")).distinct().collect())
+
+
+def flattened(items: DataFrame, fields: list[str] | None = None, metadata: str = "metadata_json") -> DataFrame:
+    """Items with members of their metadata as columns, unless the name is taken; all
+    members there are where ``fields`` is not given."""
+    names = metadata_keys(items, metadata) if fields is None else fields
+    new = [f for f in names if f not in items.columns and f != "_callback"]
+    return items.select(*[c for c in items.columns if c != metadata], *[_at(metadata, f).alias(f) for f in sorted(new)])
+
+
+def _at(metadata: str, member: str) -> Column:
+    return F.get_json_object(metadata, "$['" + member.replace("'", "\\'") + "']")
+
+
+def exported(items: DataFrame, callbacks: dict[str, dict], metadata: str = "metadata_json") -> DataFrame:
+    """Rows for export: id, url, scraped_at, then by the callback that made a row the
+    fields it extracts (core names from their columns) and ``callback``; rows of no known
+    callback have the core columns. Other members of the metadata follow. The rows of all
+    callbacks are one table whose columns are the union, missing ones null."""
+    rows = items.withColumn("_by", _at(metadata, "_callback"))
+    parts = [(None, rows.where(F.col("_by").isNull() | ~F.col("_by").isin(list(callbacks))), CORE)]
+    parts += [(name, rows.where(F.col("_by") == name), tuple(config.get("extract") or {})) for name, config in callbacks.items()]
+    out: DataFrame | None = None
+    for name, part, fields in parts:
+        base = ["id", "url", "scraped_at"]
+        own = [F.col(f) if f in CORE else _at(metadata, f).alias(f) for f in fields if f not in base]
+        extra = [k for k in metadata_keys(part, metadata) if k not in {*base, *fields, "_callback", "callback"}]
+        shown = part.select(*base, *([F.lit(name).alias("callback")] if name else []), *own, *[_at(metadata, k).alias(k) for k in extra])
+        out = shown if out is None else out.unionByName(shown, allowMissingColumns=True)
+    return out
+
+
+def with_provenance(items: DataFrame, spider: str, as_of: Column) -> DataFrame:
+    """Items with the spider that made them and the time they were made."""
+    return items.withColumn("scraped_at", F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")).withColumn("source", F.lit(spider))
+
+
+def _named_tables(text: str) -> set[str]:
+    """The tables a statement reads: names after FROM, JOIN and commas between them,
+    without those that WITH defines."""
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", " ", text, flags=re.S)
+    defined = {m.lower() for m in re.findall(r"(?is)(?:\bwith\b(?:\s+recursive\b)?|\)\s*,)\s*(\w+)(?:\s*\([^)]*\))?\s+as\s*\(", bare)}
+    names = set()
+    for start in re.finditer(r"(?i)\b(?:from|join)\b(?!\s*\()\s*", bare):
+        rest = bare[start.end() :]
+        while m := re.match(r"[`\"]?([\w.]+)[`\"]?(?:\s+(?:as\s+)?(?!(?:on|using|where|group|order|having|limit|inner|left|right|full|cross|join|union|except|intersect|lateral|natural|window)\b)\w+)?\s*(,(?!\s*\()\s*)?", rest, re.I):
+            names.add(m[1].lower())
+            if not m[2]:
+                break
+            rest = rest[m.end() :]
+    return names - defined
+
+
+def checked_sql(spark: SparkSession, text: str, tables: tuple[str, ...] | None = TABLES) -> DataFrame:
+    """A SELECT over the known tables; anything else is refused."""
     if not re.match(r"(?is)^\s*(select|with)\b", text):
         raise ValueError("only SELECT statements are run")
+    if tables is not None and (unknown := _named_tables(text) - set(tables)):
+        raise ValueError(f"unknown tables {sorted(unknown)}")
     return spark.sql(text)
 
 
-def affected(spark: SparkSession, statement: str) -> DataFrame:
-    """(affected): how many rows an UPDATE or DELETE would touch."""
-    m = re.match(r"(?is)^\s*(?:update\s+(\w+)\s+set\b.*?|delete\s+from\s+(\w+))(?:\s+where\s+(.*))?$", statement.strip().rstrip(";"))
+def _statement(text: str) -> tuple[str, str | None, str | None]:
+    """(table, assignments or None, condition or None) of an UPDATE or DELETE."""
+    m = re.match(r"(?is)^\s*(?:update\s+(\w+)\s+set\s+(.+?)|delete\s+from\s+(\w+))(?:\s+where\s+(.*))?$", text.strip().rstrip(";"))
     if not m:
         raise ValueError("neither UPDATE nor DELETE")
-    name = (m[1] or m[2]).lower()
+    name = (m[1] or m[3]).lower()
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
+    return name, m[2], m[4]
+
+
+def affected(spark: SparkSession, statement: str) -> DataFrame:
+    """(affected): how many rows an UPDATE or DELETE would touch."""
+    name, _, where = _statement(statement)
+    rows = spark.table(name)
+    return (rows.where(where) if where else rows).agg(F.count("*").alias("affected"))
+
+
+def rewritten(spark: SparkSession, statement: str) -> DataFrame:
+    """The table's next snapshot after an UPDATE or DELETE; the caller writes it."""
+    name, assignments, where = _statement(statement)
     rows = spark.table(name)
-    return (rows.where(m[3]) if m[3] else rows).agg(F.count("*").alias("affected"))
+    met = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
+    if assignments is None:
+        return rows.where(~met)
+    values: dict[str, Column] = {}
+    for part in re.split(r",(?=(?:[^']|'[^']*')*$)(?=\s*\w+\s*=)", assignments):
+        column, _, value = part.partition("=")
+        if column.strip() not in rows.columns:
+            raise ValueError(f"unknown column {column.strip()}")
+        values[column.strip()] = F.expr(value.strip())
+    return _updated(rows, met, rows, values)

@@ -77,7 +77,13 @@ def parse_timestamps(df: DataFrame, text: str, order: str) -> DataFrame:
     ``_region`` (IANA name in lower case) and ``_free`` (it names no zone). ``order`` is a column holding DMY, MDY
     or YMD for all-numeric dates.
     """
-    t = F.lower(F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " ")))
+    df = df.withColumn("_ts", _parsed(F.col(text), F.col(order)))
+    return df.select("*", *[F.col(f"_ts.{n}").alias(f"_{n}") for n in ("local", "epoch", "offset", "word", "region", "free")]).drop("_ts")
+
+
+def _parsed(text: Column, order: Column) -> Column:
+    """A struct of what ``parse_timestamps`` adds."""
+    t = F.lower(F.trim(F.regexp_replace(text, r"[\s\u00a0\u202f]+", " ")))
     t = F.regexp_replace(F.regexp_replace(t, r" uhr\b", ""), r" г\.?(?=[ ,]|$)", "")
     month_of = {name: n for n, names in MONTHS.items() for name in names.split()}
     # Each pattern rewrites what it matches into one delimited form, so every
@@ -91,7 +97,7 @@ def parse_timestamps(df: DataFrame, text: str, order: str) -> DataFrame:
         number = lambda i: part(i).try_cast("int")
         a, b, c = number(1), F.coalesce(number(2), _lookup(month_of, part(2))), number(3)
         mixed = F.get(p, F.lit(0)) == "numeric"
-        by = F.upper(F.coalesce(F.col(order), F.lit("DMY")))
+        by = F.upper(F.coalesce(order, F.lit("DMY")))
         month_leads = mixed & (by == "MDY")
         year_leads = ~mixed | ((by == "YMD") & (F.length(part(3)) < 4))
         year = F.when(year_leads, a).otherwise(c)
@@ -127,20 +133,35 @@ def parse_timestamps(df: DataFrame, text: str, order: str) -> DataFrame:
 
     # Lambdas bind the split and the fields once; as plain columns the optimizer
     # would inline them at each of their uses.
-    found = F.transform(F.transform(F.array(F.split(canonical, r"\|", -1)), fields), resolved)
-    df = df.withColumn("_ts", F.get(found, F.lit(0)))
-    return df.select("*", *[F.col(f"_ts.{n}").alias(f"_{n}") for n in ("local", "epoch", "offset", "word", "region", "free")]).drop("_ts")
+    return F.get(F.transform(F.transform(F.array(F.split(canonical, r"\|", -1)), fields), resolved), F.lit(0))
+
+
+#: Years whose abbreviations are looked up; dates before the first have those of the first,
+#: dates after the last those of the last.
+YEARS = (1900, 2100)
+
+
+def read_instant(text: Column, order: str) -> Column:
+    """The instant a text names, in UTC without zone: for one column and a constant order of
+    all-numeric dates, zone-less times taken as UTC. Abbreviations other than GMT, UTC and
+    Z, and names of zones that do not exist, give null."""
+    found = _parsed(text, F.lit(order))
+    zoned = F.when(found.offset.isNotNull(), F.timestamp_add("SECOND", -found.offset, found.local)).when(found.word == "gmt", found.local)
+    regions = {name.lower(): name for name in known_zones()}
+    region = F.when(found.region.isNotNull(), _lookup(regions, found.region))
+    named = F.when(region.isNotNull(), F.convert_timezone(region, F.lit("UTC"), found.local))
+    return F.coalesce(found.epoch, zoned, named, F.when(found.free, found.local))
 
 
-def abbreviations(spark: SparkSession, zones: list[str]) -> DataFrame:
+def abbreviations(spark: SparkSession, zones: list[str], years: tuple[int, int] = YEARS) -> DataFrame:
     """(zone, word, year, seconds): the abbreviations each zone used in each year.
 
-    Bounded by the IANA database: at most a few hundred rows a zone.
+    Bounded by the IANA database and ``years``: at most a few hundred rows a zone.
     """
     rows = set()
     for name in zones:
         zone = ZoneInfo(name)
-        for year in range(1970, 2038):
+        for year in range(years[0], years[1] + 1):
             for month in range(1, 13):
                 t = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(zone)
                 rows.add((name, (t.tzname() or "").lower(), t.year, int(t.utcoffset().total_seconds())))
@@ -180,7 +201,8 @@ def to_utc(df: DataFrame, zone: str, words: DataFrame, regions: list[str]) -> Da
     """Adds ``utc`` as ``yyyy-MM-ddTHH:mm:ss.ffffffZ`` to parsed rows whose
     source follows the history in column ``zone``; null where there is no instant."""
     canonical = {name.lower(): name for name in regions}
-    df = df.withColumn("_year", F.year("_local")).withColumn("_site", F.col(zone))
+    year = F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year("_local")))
+    df = df.withColumn("_year", year).withColumn("_site", F.col(zone))
     df = df.join(F.broadcast(words.withColumnRenamed("_zone", "_site")), ["_site", "_word", "_year"], "left")
     named = F.when(F.col("_region").isNotNull(), _lookup(canonical, F.col("_region")))
     by_zone = F.when(F.col("_region").isNotNull(), named).when(F.col("_word").isNull(), F.col("_site"))

@@ -6,8 +6,11 @@ and one function a page.
 
 from __future__ import annotations
 
+import ipaddress
+import json
 import re
 from typing import Any
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +19,30 @@ from webloom.functions import processors
 from webloom.functions.html import pages as html_pages
 from webloom.operators.routing import routed_by
 
+# Fields an article reader fills, and fields beside a project's schema that
+# records keep.
 CORE = ("title", "content", "author", "published_date")
 BOOKKEEPING = ("url", "spider_id", "spider_name", "source", "extracted_at", "scraped_at", "html", "_callback")
+# Processor types, readers, and names callbacks may not have.
 PROCESSORS = ("strip", "replace", "regex", "cast", "join", "default", "lowercase", "parse_datetime")
-#: Bounds of numeric settings.
-BOUNDS = {"CONCURRENT_REQUESTS": (1, 32), "DOWNLOAD_DELAY": (0, 60), "max_pages": (1, 1000), "click_delay": (0.5, 10)}
-RESERVED = ("parse", "start", "parse_start_url", "closed", "log")
+READERS = ("newspaper", "trafilatura", "custom", "playwright")
+GENERIC = ("newspaper", "trafilatura", "playwright")
+RESERVED = ("parse_article", "parse_start_url", "start_requests", "from_crawler", "closed", "parse")
+# Keys a part of a configuration may have, and bounds of numbers.
+KEYS = {
+    "config": "name source_url allowed_domains start_urls rules settings callbacks",
+    "rule": "allow deny restrict_xpaths restrict_css tags callback follow priority",
+    "section": "match extract follow priority deny restrict_xpaths restrict_css tags",
+    "listing": "url link_selector next_selector wait_selector max_pages click_delay",
+    "variable": "type from to step values format step_days",
+    "generated": "template vars callback method formdata follow",
+    "directive": "from from_field css xpath get_all to_text to_markdown processors own_text",
+    "field": "css xpath get_all processors to_text to_markdown own_text type selector extract ajax_url ajax_data post_id_css response_json_field post_id_regex ajax_method response_type ajax_per_page json_path nest_replies comment_id_field parent_id_field replies_field",
+    "callback": "extract iterate",
+    "iterate": "selector follow url_context",
+}
+BOUNDS = {"CONCURRENT_REQUESTS": (1, 32), "DOWNLOAD_DELAY": (0, 60), "priority": (0, 1000), "max_pages": (1, 1000), "click_delay": (0.5, 10), "step": (1, None), "step_days": (1, None)}
+_IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
 
 class ConfigError(ValueError):
@@ -30,139 +51,386 @@ class ConfigError(ValueError):
 
 def expand_sections(config: dict[str, Any]) -> dict[str, Any]:
     """Sections as rules, callbacks and settings. Without ``extract`` a section only
-    follows; ``"auto"`` parses articles; an object of selectors is a callback; an
-    object with ``"auto": true`` overrides fields of articles, once at most."""
+    follows; ``"auto"`` reads articles; an object of selectors is a callback; an object in
+    which core fields are ``"auto"`` overrides the other fields of articles, once at most."""
     out = {k: v for k, v in config.items() if k != "sections"}
-    rules, callbacks, settings = list(out.get("rules", [])), dict(out.get("callbacks", {})), dict(out.get("settings", {}))
-    mixed = 0
-    for n, section in enumerate(config.get("sections", [])):
-        extract = section.get("extract")
-        rule = {"allow": section["match"] if isinstance(section["match"], list) else [section["match"]], "deny": section.get("deny", []), "follow": section.get("follow", extract is None), "priority": section.get("priority", 0)}
-        rule |= {k: section[k] for k in ("restrict_css", "restrict_xpaths", "tags") if k in section}
-        if extract is None:
-            rule["callback"] = None
-        elif extract == "auto":
+    out = out | {"rules": list(out.get("rules") or []), "callbacks": dict(out.get("callbacks") or {}), "settings": dict(out.get("settings") or {})}
+    owner = False
+    for n, section in enumerate(config.get("sections") or [], 1):
+        if not isinstance(section, dict):
+            raise ConfigError(f"section {n} is no object")
+        if bad := _shape(section, "section", f"section {n}"):
+            raise ConfigError("; ".join(bad))
+        extract, match = section.get("extract"), section.get("match")
+        rule: dict[str, Any] = {"allow": [match] if isinstance(match, str) else match, "follow": section.get("follow", True), "callback": None}
+        rule |= {k: section[k] for k in ("priority", "deny", "restrict_xpaths", "restrict_css", "tags") if k in section}
+        if extract == "auto":
             rule["callback"] = "parse_article"
-        elif isinstance(extract, dict) and extract.get("auto"):
-            mixed += 1
-            if mixed > 1:
-                raise ConfigError("more than one section mixes auto with fields")
-            rule["callback"] = "parse_article"
-            settings["FIELDS"] = {k: v for k, v in extract.items() if k != "auto"}
         elif isinstance(extract, dict):
-            rule["callback"] = f"parse_section_{n}"
-            callbacks[rule["callback"]] = {"extract": extract}
-        else:
-            raise ConfigError(f"section {n}: extract is neither auto nor fields")
-        rules.append(rule)
-    return out | {"rules": rules, "callbacks": callbacks, "settings": settings}
+            auto = [f for f, v in extract.items() if v == "auto"]
+            chosen = {f: v for f, v in extract.items() if v != "auto"}
+            if wrong := [f for f in auto if f not in CORE]:
+                raise ConfigError(f"section {n}: auto is for core fields only, not {wrong}")
+            if not auto:
+                rule["callback"] = f"parse_section_{n}"
+                out["callbacks"][rule["callback"]] = {"extract": chosen}
+            else:
+                rule["callback"] = "parse_article"
+                if chosen and owner:
+                    raise ConfigError("more than one section mixes auto with selectors")
+                owner = owner or bool(chosen)
+                if chosen:
+                    out["settings"]["FIELDS"] = {**(out["settings"].get("FIELDS") or {}), **chosen}
+        elif extract is not None:
+            raise ConfigError(f"section {n}: extract is neither auto nor selectors")
+        out["rules"].append(rule)
+    return out
+
+
+def _shape(part: Any, kind: str, where: str) -> list[str]:
+    """Unknown keys and numbers out of their bounds."""
+    if not isinstance(part, dict):
+        return [f"{where}: no object"]
+    bad = [f"{where}: unknown key {k}" for k in part if k not in KEYS[kind].split()]
+    for key, (low, high) in BOUNDS.items():
+        value = part.get(key)
+        if value is not None and key in KEYS[kind].split() and not _between(value, low, high):
+            bad.append(f"{where}: {key}")
+    return bad
+
+
+def _between(value: Any, low: float, high: float | None) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and value >= low and (high is None or value <= high)
+
+
+def _patterns(value: Any, where: str) -> list[str]:
+    if value is None:
+        return []
+    if not isinstance(value, list) or not all(isinstance(p, str) and p.strip() for p in value):
+        return [f"{where}: a list of texts"]
+    return []
+
+
+def _compiles(patterns: list[str], where: str) -> list[str]:
+    bad = []
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error as e:
+            bad.append(f"{where}: {p}: {e}")
+    return bad
+
+
+def _url(url: Any) -> bool:
+    """Whether a URL may be fetched; names are not resolved."""
+    if not isinstance(url, str) or len(url) > 2048 or not re.match(r"(?i)https?://", url):
+        return False
+    host = urlsplit(url).hostname or ""
+    if host in ("localhost", "0.0.0.0"):
+        return False
+    try:
+        ip = ipaddress.ip_address(host)
+    except ValueError:
+        return True
+    return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved)
+
+
+def _processors(steps: Any, where: str) -> list[str]:
+    return [f"{where}: processor {s.get('type') if isinstance(s, dict) else s}" for s in steps or [] if not isinstance(s, dict) or s.get("type") not in PROCESSORS]
+
+
+def _field(f: Any, where: str, kind: str = "field") -> list[str]:
+    """What is wrong with a field of a callback, or a directive of FIELDS."""
+    bad = _shape(f, kind, where)
+    if not isinstance(f, dict):
+        return bad
+    nested_, ajax = f.get("type") == "nested_list", f.get("type") == "ajax_nested_list"
+    sources = ("from", "from_field", "css", "xpath") if kind == "directive" else ("css", "xpath")
+    if not any(f.get(k) for k in sources) and not nested_ and not ajax:
+        bad.append(f"{where}: no source")
+    if nested_ and not (f.get("selector") and f.get("extract")) or ajax and not (f.get("ajax_url") and f.get("selector") and f.get("extract")):
+        bad.append(f"{where}: {f['type']} lacks parts")
+    if f.get("get_all") and (f.get("to_text") or f.get("to_markdown")):
+        bad.append(f"{where}: all matches have no one text")
+    if f.get("to_text") and f.get("to_markdown"):
+        bad.append(f"{where}: text or Markdown")
+    return bad + _processors(f.get("processors"), where)
+
+
+def _generated(g: Any, where: str) -> list[str]:
+    bad = _shape(g, "generated", where)
+    if not isinstance(g, dict):
+        return bad
+    given = g.get("vars") or {}
+    wanted = set(re.findall(r"\{(\w+)\}", " ".join([g.get("template") or "", *(g.get("formdata") or {}).values()])))
+    if wanted != set(given):
+        bad.append(f"{where}: placeholders {sorted(wanted)} and variables {sorted(given)} differ")
+    if g.get("method", "GET") not in ("GET", "POST") or (g.get("method") == "POST" and not g.get("formdata")):
+        bad.append(f"{where}: method")
+    if g.get("follow") and g.get("callback"):
+        bad.append(f"{where}: follow and callback exclude each other")
+    for name, v in given.items():
+        bad += _shape(v, "variable", f"{where}.{name}")
+        ends = (v.get("from"), v.get("to"))
+        fine = {"range": all(isinstance(x, int) for x in ends), "date": all(isinstance(x, str) for x in ends), "list": bool(v.get("values"))}
+        if not fine.get(v.get("type"), False):
+            bad.append(f"{where}.{name}: {v.get('type')}")
+    return bad
 
 
 def validate(config: dict[str, Any]) -> list[str]:
-    """What is wrong with an expanded configuration; nothing if it compiles."""
-    bad: list[str] = []
-    known = {"name", "source_url", "allowed_domains", "start_urls", "rules", "settings", "callbacks", "project", "schema", "sections"}
-    bad += [f"unknown key {k}" for k in config if k not in known]
-    if not re.fullmatch(r"[a-zA-Z0-9_-]+", config.get("name", "")):
+    """What is wrong with an expanded configuration; nothing if it may be stored."""
+    bad = _shape(config, "config", "config")
+    if not re.fullmatch(r"[a-zA-Z0-9_-]{1,255}", config.get("name") or ""):
         bad.append("name: letters, digits, _ and - only")
-    for d in config.get("allowed_domains", []):
-        if not re.fullmatch(r"(?!-)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", d):
+    domains, seeds, settings = config.get("allowed_domains") or [], config.get("start_urls") or [], config.get("settings") or {}
+    if not domains:
+        bad.append("allowed_domains: none")
+    label = r"[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+    for d in domains:
+        if not re.fullmatch(rf"{label}(\.{label})*", d) or any(x in d.lower() for x in ("localhost", "127.0.0.1", "0.0.0.0")):
             bad.append(f"domain {d}")
-    for u in [*config.get("start_urls", []), *filter(None, [config.get("source_url")])]:
-        if not re.match(r"https?://[^/\s]+", u) or len(u) > 2048 or re.match(r"https?://(localhost|127\.|10\.|192\.168\.|169\.254\.|\[)", u):
-            bad.append(f"url {u}")
-    for i, rule in enumerate(config.get("rules", [])):
-        if not 0 <= rule.get("priority", 0) <= 1000:
-            bad.append(f"rule {i}: priority")
-        for p in [*rule.get("allow", []), *rule.get("deny", [])]:
-            try:
-                re.compile(p)
-            except re.error as e:
-                bad.append(f"rule {i}: {p}: {e}")
-        name = rule.get("callback")
-        if name and name != "parse_article" and name not in config.get("callbacks", {}):
+    bad += [f"url {str(u)[:60]}" for u in [config.get("source_url"), *seeds] if not _url(u)]
+    if not (seeds or settings.get("GENERATED_URLS") or settings.get("PAGINATED_LISTINGS")):
+        bad.append("start_urls: no seeds")
+    callbacks = config.get("callbacks") or {}
+    known = {"parse_article", *callbacks}
+    for i, rule in enumerate(config.get("rules") or []):
+        bad += _shape(rule, "rule", f"rule {i}")
+        for key in ("allow", "deny", "restrict_xpaths", "restrict_css", "tags"):
+            wrong = _patterns(rule.get(key), f"rule {i}: {key}")
+            bad += wrong or (_compiles(rule.get(key) or [], f"rule {i}") if key in ("allow", "deny") else [])
+        if (name := rule.get("callback")) and (not _IDENTIFIER.fullmatch(name) or callbacks and name not in known):
             bad.append(f"rule {i}: no callback {name}")
-    for name, callback in config.get("callbacks", {}).items():
-        if not name.isidentifier() or name in RESERVED:
+    for name, callback in callbacks.items():
+        if not _IDENTIFIER.fullmatch(name) or name in RESERVED:
             bad.append(f"callback name {name}")
-        for f, directive in callback.get("extract", {}).items():
-            for step in directive.get("processors", []) if isinstance(directive, dict) else []:
-                if step.get("type") not in PROCESSORS:
-                    bad.append(f"{name}.{f}: processor {step.get('type')}")
-    for key, (low, high) in BOUNDS.items():
-        value = config.get("settings", {}).get(key)
-        if value is not None and not (isinstance(value, (int, float)) and low <= value <= high):
+        bad += _shape(callback, "callback", name)
+        if not callback.get("extract") and not callback.get("iterate"):
+            bad.append(f"{name}: neither extract nor iterate")
+        for f, d in (callback.get("extract") or {}).items():
+            bad += _field(d, f"{name}.{f}")
+        if walk := callback.get("iterate"):
+            bad += _shape(walk, "iterate", f"{name}.iterate")
+            follow = walk.get("follow") or {}
+            bad += _field(follow.get("url") or {}, f"{name}.iterate.follow")
+            if not walk.get("selector") or follow.get("callback") not in known:
+                bad.append(f"{name}.iterate: no rows or no callback {follow.get('callback')}")
+            for key, d in (walk.get("url_context") or {}).items():
+                pattern = d.get("regex") or ""
+                if wrong := _compiles([pattern], f"{name}.{key}"):
+                    bad += wrong
+                elif re.compile(pattern).groups != 1:
+                    bad.append(f"{name}.{key}: one group")
+    return bad + _settings(settings)
+
+
+def _settings(settings: dict[str, Any]) -> list[str]:
+    bad = []
+    for key in ("CONCURRENT_REQUESTS", "DOWNLOAD_DELAY"):
+        if settings.get(key) is not None and not _between(settings[key], *BOUNDS[key]):
             bad.append(f"setting {key}")
+    bad += [f"EXTRACTOR_ORDER: {r}" for r in settings.get("EXTRACTOR_ORDER") or [] if r not in READERS]
+    if (settings.get("CLOUDFLARE_STRATEGY") or "hybrid").lower() not in ("hybrid", "browser_only"):
+        bad.append("CLOUDFLARE_STRATEGY")
+    for key in ("FIELDS", "FIELD_EXTRACT"):
+        for f, d in (settings.get(key) or {}).items():
+            bad += _field(d, f"{key}.{f}", "directive")
+    for n, part in enumerate(settings.get("PAGINATED_LISTINGS") or []):
+        bad += _shape(part, "listing", f"PAGINATED_LISTINGS {n}")
+        bad += [f"PAGINATED_LISTINGS {n}: {k}" for k in ("url", "link_selector", "next_selector") if not part.get(k)]
+    for n, part in enumerate(settings.get("GENERATED_URLS") or []):
+        bad += _generated(part, f"GENERATED_URLS {n}")
     return bad
 
 
-def coverage(config: dict[str, Any], schema: list[dict[str, Any]]) -> list[str]:
-    """Required fields nobody fills: core fields come from the article parser, others
-    need a directive."""
-    given = {"url"} | set(config.get("settings", {}).get("FIELDS", {}))
-    for callback in config.get("callbacks", {}).values():
-        given |= set(callback.get("extract", {}))
-    if any(r.get("callback") == "parse_article" for r in config.get("rules", [])):
-        given |= set(CORE)
+def sections_coverage(sections: list[dict[str, Any]], schema: list[dict[str, Any]]) -> list[str]:
+    """Required fields no section gives; ``url`` is always there."""
+    given = {"url"}
+    for section in sections:
+        extract = section.get("extract") if isinstance(section, dict) else None
+        given |= set(CORE) if extract == "auto" else set(extract or ()) if isinstance(extract, dict) else set()
     return [f["name"] for f in schema if f.get("required") and f["name"] not in given]
 
 
-def directive(value: Any) -> dict[str, Any]:
-    """A directive in its full form; a bare selector takes the matches' text."""
-    return {"css": value, "to_text": True} if isinstance(value, str) else value
+def coverage(config: dict[str, Any], schema: list[dict[str, Any]]) -> list[str]:
+    """Problems of an expanded configuration with its project's schema: required core fields
+    need a generic reader or a directive, others a directive; fields beyond the core
+    exclude generic readers. Callbacks are contracts of their own."""
+    if config.get("callbacks"):
+        return []
+    settings = config.get("settings") or {}
+    given = {"url", *_directives(settings)}
+    generic = any(r in GENERIC for r in settings.get("EXTRACTOR_ORDER") or [])
+    bad = [f["name"] for f in schema if f.get("required") and f["name"] not in given and not (generic and f["name"] in CORE)]
+    beyond = [f["name"] for f in schema if not f.get("core") and f["name"] not in (*CORE, "url")]
+    return bad + ([f"generic reader beside {', '.join(beyond)}"] if beyond and generic else [])
+
+
+def _directives(settings: dict[str, Any]) -> dict[str, dict[str, Any]]:
+    """FIELDS (or its old name) and, for other fields, the flat selectors of
+    CUSTOM_SELECTORS as directives that take the matches' text."""
+
+    def read(value: Any) -> dict[str, Any]:
+        if isinstance(value, str):
+            try:
+                value = json.loads(value)
+            except ValueError:
+                value = {}
+        return value if isinstance(value, dict) else {}
+
+    own = read(settings.get("FIELDS") or settings.get("FIELD_EXTRACT"))
+    old = read(settings.get("CUSTOM_SELECTORS"))
+    return own | {f: {"css": s, "to_text": True} for f, s in old.items() if f not in own and isinstance(s, str)}
+
 
+def reader_order(settings: dict[str, Any]) -> list[str]:
+    """The readers in order: a list, or the text of one; the default else. Scrolled pages
+    are recorded, so scrolling adds the reader of rendered pages."""
+    order = settings.get("EXTRACTOR_ORDER")
+    if isinstance(order, str):
+        try:
+            order = json.loads(order.replace("'", '"'))
+        except ValueError:
+            order = None
+    order = list(order) if isinstance(order, list) else list(html_pages.DEFAULT_ORDER)
+    return order + (["playwright"] if settings.get("INFINITE_SCROLL") and "playwright" not in order else [])
 
-def records(pages: DataFrame, config: dict[str, Any], schema: list[dict[str, Any]] | None = None) -> DataFrame:
-    """Records of the pages (url, html) that a rule sends to a parser.
+
+def records(pages: DataFrame, config: dict[str, Any], schema: list[dict[str, Any]] | None = None, include_html: bool = False) -> DataFrame:
+    """Records of the pages (url, html) that a rule sends to a callback.
 
     Route, parse each page once, run the processors, then keep what the project's
     schema names; its fields that nobody fills are null. A directive that finds
-    nothing leaves a core field as the article parser found it."""
+    nothing leaves a core field as the reader found it. A callback that iterates over a
+    listing gives the pages its rows lead to, with what the rows hold. Pages that no
+    reader accepts give nothing."""
     config = expand_sections(config)
     if bad := validate(config):
         raise ConfigError("; ".join(bad))
     named = pages.withColumn("_callback", routed_by(F.col("url"), config["rules"])).where("_callback IS NOT NULL")
-    out: DataFrame | None = None
-    for name in ["parse_article", *config["callbacks"]]:
-        extract = config["settings"].get("FIELDS", {}) if name == "parse_article" else config["callbacks"][name]["extract"]
-        if not any(r.get("callback") == name for r in config["rules"]):
+    used = {r.get("callback") for r in config["rules"]}
+    parts = [_articles(named.where("_callback = 'parse_article'"), config["settings"], schema, include_html)] if "parse_article" in used else []
+    for name, callback in config["callbacks"].items():
+        if name not in used:
             continue
-        fields = {f: directive(d) for f, d in extract.items()}
         own = named.where(F.col("_callback") == name)
-        if fields:
-            own = own.withColumn("_x", html_pages.extract(F.col("html"), fields))
-        found = {f: _processed(F.col(f"_x.`{f}`"), d) for f, d in fields.items()}
-        if name == "parse_article":
-            own = own.withColumn("_a", html_pages.articles(F.col("html")))
-            base = {f: F.col(f"_a.{f}") for f in CORE}
-            found = base | {f: F.coalesce(c, base[f].cast("string")) if f in base else c for f, c in found.items()}
-        part = own.select("url", "_callback", *[c.alias(f) for f, c in found.items()])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+        if callback.get("iterate"):
+            target = callback["iterate"]["follow"]["callback"]
+            rows = listing_rows(own, callback)
+            extract = config["callbacks"].get(target, {}).get("extract") or {}
+            parts.append(details(rows, pages, extract, target))
+        else:
+            parts.append(_called(own, callback["extract"]))
+    if not parts:
         return pages.select("url").where("false")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     if schema is not None:
-        kept = [c for c in out.columns if c in BOOKKEEPING or c in {f["name"] for f in schema}]
-        out = out.select(*kept, *[F.lit(None).cast("string").alias(f["name"]) for f in schema if f["name"] not in out.columns])
+        names = [f["name"] for f in schema]
+        kept = [c for c in out.columns if c in BOOKKEEPING or c in names]
+        out = out.select(*kept, *[F.lit(None).cast("string").alias(n) for n in names if n not in out.columns])
     return out
 
 
+def _articles(pages: DataFrame, settings: dict[str, Any], schema: list[dict[str, Any]] | None, include_html: bool) -> DataFrame:
+    """Records of article pages. With ``["custom"]`` as order and directives, the directives
+    are all there is, and author and date fall back on the page's metadata."""
+    fields, order = _directives(settings), reader_order(settings)
+    pure = order == ["custom"] and bool(fields)
+    chosen = settings.get("CUSTOM_SELECTORS") if isinstance(settings.get("CUSTOM_SELECTORS"), dict) else None
+    selected = {f: d for f, d in fields.items() if not (d.get("from") or d.get("from_field"))}
+    if pure:
+        # A page without text is an item too, so the page's metadata is all that is read.
+        read = pages.withColumn("_x", html_pages.extract(F.col("html"), selected))
+        base = {f: html_pages.per_page(F.col("html"), m) for f, m in (("author", html_pages.meta_author), ("published_date", html_pages.meta_date))}
+    else:
+        read = pages.withColumn("_x", html_pages.extract(F.col("html"), selected, {"order": order, "selectors": chosen, "include_html": include_html}))
+        read = read.where("_x.a_content IS NOT NULL")
+        base = {p: F.col(f"_x.a_{p}") for p in html_pages.ARTICLE if p != "html" or include_html}
+    out = dict(base)
+    for f, d in fields.items():
+        source = d.get("from") or d.get("from_field")
+        value = base.get(source, F.lit(None).cast("string")) if source else F.col(f"_x.`{f}`")
+        value = _processed(value, d)
+        out[f] = F.coalesce(value.cast("string"), base[f]) if f in base and f in (*CORE, "url") else value
+    if schema is not None:
+        out = {f: c for f, c in out.items() if f in BOOKKEEPING or f in {s["name"] for s in schema}}
+    return read.select("url", "_callback", *[c.alias(f) for f, c in out.items()])
+
+
+def _called(pages: DataFrame, extract: dict[str, dict[str, Any]]) -> DataFrame:
+    """(url, _callback, fields): the fields a callback extracts from each page."""
+    own = pages.withColumn("_x", html_pages.extract(F.col("html"), extract))
+    return own.select("url", "_callback", *[_processed(F.col(f"_x.`{f}`"), d).alias(f) for f, d in extract.items()])
+
+
 def _processed(c: Column, d: dict[str, Any]) -> Column:
     many = bool(d.get("get_all"))
     if many:
         c = F.from_json(c, "array<string>")
-    return processors.chain(c, d.get("processors", []), many)
+    return processors.chain(c, d.get("processors") or [], many)
 
 
-def from_context(url: Column, patterns: dict[str, str]) -> dict[str, Column]:
+def from_context(url: Column, patterns: dict[str, Any]) -> dict[str, Column]:
     """Named values of single-group patterns over a URL; null without a match."""
-    return {n: F.when(url.rlike(processors.java_pattern(p)), F.regexp_extract(url, processors.java_pattern(p), 1)) for n, p in patterns.items()}
+    plain = {n: p["regex"] if isinstance(p, dict) else p for n, p in patterns.items()}
+    return {n: F.when(url.rlike(processors.java_pattern(p)), F.regexp_extract(url, processors.java_pattern(p), 1)) for n, p in plain.items()}
+
+
+def listing_rows(pages: DataFrame, callback: dict[str, Any]) -> DataFrame:
+    """(page, follow_url, fields): a row for each row of a listing page that names a page to
+    follow; values from the page's URL win over the row's."""
+    fields = [f for f in callback.get("extract") or {}]
+    context = from_context(F.col("page"), callback["iterate"].get("url_context") or {})
+    rows = pages.select(F.col("url").alias("page"), F.explode(html_pages.listing(F.col("url"), F.col("html"), callback)).alias("_r"))
+    own = {f: F.get_json_object("_r", f"$.fields['{f}']") for f in fields} | context
+    return rows.select("page", F.get_json_object("_r", "$.follow_url").alias("follow_url"), *[c.alias(f) for f, c in own.items()])
+
+
+def details(rows: DataFrame, pages: DataFrame, extract: dict[str, dict[str, Any]], callback: str = "parse_detail") -> DataFrame:
+    """Detail pages with the row of the listing that led to them: an inner join on the
+    address. What a detail page's fields give stands over the row's values, nulls too."""
+    carried = [c for c in rows.columns if c not in ("page", "follow_url")]
+    held = rows.select(F.col("follow_url").alias("_to"), *[F.col(c).alias(f"_row_{c}") for c in carried])
+    joined = pages.join(held, pages["url"] == held["_to"]).withColumn("_x", html_pages.extract(F.col("html"), extract))
+    own = {c: F.col(f"_row_{c}") for c in carried} | {f: _processed(F.col(f"_x.`{f}`"), d) for f, d in extract.items()}
+    return joined.select("url", F.lit(callback).alias("_callback"), *[c.alias(f) for f, c in own.items()])
+
+
+def json_rows(body: Column, extract: dict[str, dict[str, Any]], at: str | None = None) -> Column:
+    """An array of structs for the objects of a JSON list, at a dotted path if given: each
+    field by its ``json_path``, tags taken out, run through its processors. Fields without a
+    path are left out; anything but a list has no rows."""
+    return F.transform(_list_at(body, at), lambda o: _members(o, extract))
+
+
+def json_record(body: Column, extract: dict[str, dict[str, Any]], at: str | None = None) -> Column:
+    """A struct of the fields of one JSON object, at a dotted path if given; list places in
+    paths are numbers. Null for anything but an object."""
+    from webloom.functions.records import json_at
+
+    own = json_at(body, at) if at else body
+    return F.when(own.rlike(r"^\s*\{"), _members(own, extract))
+
+
+def json_nested(body: Column, config: dict[str, Any], at: str | None = None) -> Column:
+    """Nested rows, as JSON, of the HTML at a dotted path of a JSON body."""
+    from webloom.functions.records import json_at
+
+    html = json_at(body, at) if at else body
+    return html_pages.extract(html, {"rows": config | {"type": "nested_list"}})["rows"]
+
+
+def _list_at(body: Column, at: str | None) -> Column:
+    from webloom.functions.records import json_at
+
+    own = json_at(body, at) if at else body
+    return F.when(own.rlike(r"^\s*\["), F.from_json(own, "array<string>"))
+
 
+def _members(o: Column, extract: dict[str, dict[str, Any]]) -> Column:
+    from webloom.functions.records import json_at, without_tags
 
-def details(listing: DataFrame, pages: DataFrame, fields: list[str], context: dict[str, str] | None = None) -> DataFrame:
-    """Detail pages with the row of the listing that led to them; values from the URL
-    win over the listing's."""
-    rows = listing.where(F.col("follow_url").isNotNull() & (F.col("follow_url") != ""))
-    joined = pages.join(rows.select(F.col("follow_url").alias("url"), *fields), "url")
-    for name, c in from_context(F.col("url"), context or {}).items():
-        joined = joined.withColumn(name, F.coalesce(c, F.col(name)) if name in joined.columns else c)
-    return joined
+    return F.struct(*[processors.chain(without_tags(json_at(o, d["json_path"])), d.get("processors") or []).alias(f) for f, d in extract.items() if d.get("json_path")])

@@ -5,6 +5,7 @@ Inputs too small to be tables are rows in both forms.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from webloom.functions import processors as proc
 from webloom.functions import records, urls
 from webloom.functions.html import pages as html_pages
 from webloom.operators import routing, stats, store
-from webloom.plans import timestamp_queries
-from webloom.session import table
+from webloom.plans import cases, timestamp_queries
+from webloom.session import shared_dir, table
+from webloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,6 +43,8 @@ def _t(name: str):
 items, queue, spiders, rules, settings, events, orders = (_t(n) for n in ("scraped_items", "crawl_queue", "spiders", "spider_rules", "spider_settings", "events", "orders"))
 NOW = "2026-03-01 00:00:00"
 _now = lambda: F.lit(NOW).cast("timestamp_ntz")
+#: White space in the wide sense, as RE2 has to be told.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _HOST = r"lower(regexp_replace(regexp_replace(regexp_extract({c}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
 _PATH = r"regexp_extract({c}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 
@@ -164,6 +168,43 @@ def queue_list(spark, d):
     return store.queue_open(queue(spark, d)).select("id", "project_name", "status")
 
 
+@query("SELECT id, priority FROM crawl_queue WHERE status = 'failed' ORDER BY priority DESC, created_at, id LIMIT 15")
+def queue_urgent(spark, d):
+    return store.queue_open(queue(spark, d), status="failed", limit=15).select("id", "priority")
+
+
+@query("SELECT id, name FROM spiders WHERE project = 'newsdesk' ORDER BY name, project")
+def spiders_by_name(spark, d):
+    return store.spiders_of(spiders(spark, d), "newsdesk").select("id", "name")
+
+
+@query("SELECT min(id) AS id, project FROM spiders WHERE (name, project) = (SELECT (name, project) FROM spiders WHERE id = 3) GROUP BY project")
+def spider_named(spark, d):
+    own = spiders(spark, d)
+    known = own.where("id = 3").select("name", "project").first()
+    return store.spider_named(own, known["name"], known["project"]).select("id", "project")
+
+
+@query("""SELECT spider_id, arg_max(struct_pack(t := title), (scraped_at, id)).t AS title, left(arg_max(coalesce(content, ''), (scraped_at, id)), 100) AS content, arg_max(struct_pack(t := author), (scraped_at, id)).t AS author,
+  arg_max(struct_pack(t := url), (scraped_at, id)).t AS url, arg_max(struct_pack(t := published_date), (scraped_at, id)).t AS date FROM scraped_items GROUP BY spider_id""")
+def health_sample(spark, d):
+    return stats.health_sample(items(spark, d))
+
+
+@query("""SELECT spider_id, count(*) AS items, CAST(arg_max(coalesce(length(content), 0), (scraped_at, id)) AS BIGINT) AS newest_chars,
+  CASE WHEN spider_id % 7 = 0 THEN 'schema_coverage' WHEN count(*) < 3 THEN 'crawling' WHEN arg_max(coalesce(length(content), 0), (scraped_at, id)) < 50 THEN 'extraction' ELSE 'passed' END AS verdict FROM scraped_items GROUP BY spider_id""")
+def health_with_schema(spark, d):
+    """Spiders whose configuration leaves required fields unfilled fail before anything else."""
+    problems = spiders(spark, d).where("id % 7 = 0").select(F.col("id").alias("spider_id"), F.lit("byline").alias("problem"))
+    return stats.health(items(spark, d), problems=problems)
+
+
+@query("SELECT s.id, s.name FROM spiders s WHERE NOT EXISTS (SELECT 1 FROM crawl_queue q WHERE q.project_name = s.project AND q.status = 'completed')")
+def spiders_without_files(spark, d):
+    done = queue(spark, d).where("status = 'completed'").select(F.col("project_name").alias("project"))
+    return stats.without_files(spiders(spark, d), done, ["project"]).select("id", "name")
+
+
 @query("SELECT id, project_name FROM (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY priority DESC, created_at, id) AS n FROM crawl_queue WHERE status = 'pending') WHERE n <= 2")
 def queue_next(spark, d):
     return store.queue_next(queue(spark, d), 2).select("id", "project_name")
@@ -361,24 +402,25 @@ def json_array_rows(spark, d):
     return items(spark, d).select("id", F.posexplode(words).alias("pos", "k")).select("id", "k", (F.col("pos") + 1).cast("int").alias("pos"))
 
 
-@query(r"SELECT id, regexp_replace(regexp_replace('<b>' || title || '</b> ', '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') AS bare FROM scraped_items WHERE title IS NOT NULL AND NOT contains(title, '<')")
+@query(rf"SELECT id, CASE WHEN contains(title, '<') THEN regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') ELSE title END AS bare FROM scraped_items")
 def tag_strip(spark, d):
-    return items(spark, d).where("title IS NOT NULL AND NOT contains(title, '<')").select("id", records.without_tags(F.concat(F.lit("<b>"), "title", F.lit("</b> "))).alias("bare"))
+    return items(spark, d).select("id", records.without_tags(F.col("title")).alias("bare"))
 
 
-@query("""SELECT spider_id, string_agg(author, ', ' ORDER BY first) AS authors FROM (SELECT spider_id, trim(author) AS author, min(id) AS first FROM scraped_items
-  WHERE trim(author) <> '' AND NOT author LIKE 'http%' AND id <= 1000000000 GROUP BY 1, 2) GROUP BY spider_id""")
+@query(rf"""SELECT id, nullif(array_to_string(list_distinct_ordered, ', '), '') AS authors FROM (SELECT id, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS list_distinct_ordered FROM (
+  SELECT id, list_filter(list_transform(regexp_split_to_array(author, '[/&,]'), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, 'http')) AS parts FROM scraped_items))""")
 def author_lists(spark, d):
-    first = items(spark, d).where("author IS NOT NULL").groupBy("spider_id", F.trim("author").alias("author")).agg(F.min("id").alias("first"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("first", "author"))), lambda x: x["author"])
-    return first.groupBy("spider_id").agg(records.joined_authors(names).alias("authors")).where("authors IS NOT NULL")
+    return items(spark, d).select("id", records.joined_authors(F.split("author", "[/&,]")).alias("authors"))
+
 
+_W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, E'\r\n?', E'\n', 'g'), chr(173), ''), '([\p{L}\p{M}\p{Nd}_])-\n([\p{L}\p{M}\p{Nd}_])', '\1\2', 'g'),
-  '([^\n.!?:])\n(\p{Ll})', '\1 \2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents WHERE text NOT LIKE '%' || chr(160) || '%' AND NOT regexp_matches(text, '[\x{80}-\x{9f}]')""")
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, E'\r\n?', E'\n', 'g'), chr(173) || '[ \t]*\n?[ \t]*', '', 'g') AS t FROM documents),
+  b AS (SELECT doc_id, regexp_replace(t, '({_W})-[ \t]*\n[ \t]*({_W})', '\1\2', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '([^\n.!?:;])[ \t]*\n[ \t]*([a-z])', '\1 \2', 'g') AS t FROM b),
+  e AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n ', E'\n', 'g'), '\n{{3,}}', E'\n\n', 'g') AS t FROM c) SELECT doc_id, regexp_replace(t, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS cleaned FROM e""")
 def pdf_text_clean(spark, d):
-    plain = ~F.col("text").contains("\u00a0") & ~F.col("text").rlike("[\\x{80}-\\x{9f}]")
-    return table(spark, d, "documents").where(plain).select("doc_id", records.clean_pdf_text(F.col("text")).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", records.clean_pdf_text(F.col("text")).alias("cleaned"))
 
 
 # State
@@ -390,11 +432,14 @@ def block_learning(spark, d):
     return stats.block_learning(events(spark, d), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id", "blocked", "via_proxy", "failed")
 
 
-@query("""WITH l AS (SELECT user_id, event_type = 'error' AS blocked, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS via FROM events)
-  SELECT count_if(via) AS attempts, count_if(via AND NOT blocked) AS successes, count_if(NOT via) AS direct, count(DISTINCT CASE WHEN via AND blocked THEN user_id END) AS failed_domains,
-  CAST(round_even(100 * count_if(via AND NOT blocked) / count_if(via), 0) AS BIGINT) AS pct FROM l""")
+@query("""WITH s AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 403 WHEN 'signup' THEN 404 ELSE 200 END AS status FROM events),
+  l AS (SELECT user_id, status, status = 403 AS blocked, coalesce(bool_or(status = 403) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS via FROM s)
+  SELECT count_if(via) AS attempts, count_if(via AND status = 200) AS successes, count_if(NOT via) AS direct, count_if(NOT via AND blocked) AS retries, count(DISTINCT CASE WHEN via AND blocked THEN user_id END) AS failed_domains,
+  array_to_string(list_sort(list(DISTINCT CAST(user_id AS VARCHAR)) FILTER (WHERE NOT via AND blocked)), ', ') AS needed, CAST(round_even(100 * count_if(via AND status = 200) / count_if(via), 0) AS BIGINT) AS pct FROM l""")
 def proxy_stats(spark, d):
-    return stats.proxy_stats(stats.block_learning(events(spark, d), "user_id", ["ts", "event_id"], F.col("event_type") == "error"))
+    status = F.when(F.col("event_type") == "error", 403).when(F.col("event_type") == "signup", 404).otherwise(200)
+    log = events(spark, d).withColumn("status", status)
+    return stats.proxy_stats(stats.block_learning(log, "user_id", ["ts", "event_id"], F.col("status") == 403), "user_id", F.col("status"))
 
 
 @query("""SELECT event_id FROM (SELECT event_id, coalesce(bool_or(event_type <> 'error') OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stored FROM events) WHERE NOT stored""")
@@ -415,7 +460,7 @@ def paginator_stop(spark, d):
     return routing.first_seen_pages(pages, "k", "page", "url").select("k", "page", F.size("urls").cast("bigint").alias("n"))
 
 
-@query("""SELECT id, CAST(length(content) AS BIGINT) AS n, (id % 50 = 0) OR content IS NULL OR trim(content, E' \t\r\n\f\v') = '' OR regexp_matches(lower(content), 'just a moment|checking your browser|attention required|access denied|verify you are human|enable javascript and cookies to continue|captcha|unusual traffic')
+@query("""SELECT id, CAST(length(content) AS BIGINT) AS n, (id % 50 = 0) OR content IS NULL OR trim(content, E' \t\r\n\f\v') = '' OR regexp_matches(lower(content), 'checking your browser|just a moment|cf-browser-verification|/cdn-cgi/challenge-platform|sorry, you have been blocked|attention required|error 1020|error 1015')
   OR (length(content) < 5000 AND contains(lower(content), 'cloudflare')) AS blocked FROM scraped_items""")
 def blocked_pages(spark, d):
     status = F.when(F.col("id") % 50 == 0, 403).otherwise(200)
@@ -436,7 +481,7 @@ def nested_replies(spark, d):
 
 @query("""WITH j AS (SELECT event_id, 'job:' || event_type || ':u' || user_id AS label FROM events), l AS (SELECT split_part(label, ':', 2) AS project, split_part(label, ':', 3) AS spider, max(event_id) AS task FROM j GROUP BY 1, 2),
   f AS (SELECT event_type AS project, 'u' || user_id AS spider, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2) SELECT l.project, l.spider, l.task, coalesce(f.n, 0) AS n FROM l LEFT JOIN f ON f.project = l.project AND f.spider = l.spider""")
-def job_status(spark, d):
+def job_newest(spark, d):
     ev = events(spark, d)
     jobs = ev.select("event_id", stats.label_parts(F.concat(F.lit("job:"), "event_type", F.lit(":u"), F.col("user_id").cast("string"))).alias("l"))
     newest = jobs.groupBy("l.project", "l.spider").agg(F.max("event_id").alias("task"))
@@ -467,7 +512,7 @@ def _pages(spark, d) -> DataFrame:
 
 @query(r"SELECT id, nullif(coalesce(title, ''), '') AS title, nullif(regexp_replace(coalesce(author, ''), '^\s+|\s+$', '', 'g'), '') AS author, url || '?a=1' AS link FROM scraped_items WHERE url IS NOT NULL")
 def html_fields(spark, d):
-    fields = {"title": {"css": "article h1.t::text"}, "author": {"css": "p.by", "to_text": True}, "link": {"xpath": "//body/a/@href"}}
+    fields = {"title": {"css": "article h1.t::text"}, "author": {"css": "p.by", "to_text": True, "own_text": True}, "link": {"xpath": "//body/a/@href"}}
     return _pages(spark, d).select("id", html_pages.extract(F.col("html"), fields).alias("x")).select("id", "x.*")
 
 
@@ -477,20 +522,35 @@ def html_links(spark, d):
     return found.select("id", F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(1)).alias("second"))
 
 
-@query()
+def _bare(c: str) -> str:
+    return rf"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _flat(c: str) -> str:
+    return rf"nullif(regexp_replace(regexp_replace(coalesce({c}, ''), '([\x1c-\x1f]|{_SPACE})+', ' ', 'g'), '^ | $', '', 'g'), '')"
+
+
+@query(f"""WITH p AS (SELECT id, nullif({_bare("coalesce(title, '')")}, '') AS head, {_flat("title")} AS t, {_flat("author")} AS a, {_flat("content")} AS c, coalesce(length(author), 0) + coalesce(length(content), 0) AS n FROM scraped_items WHERE url IS NOT NULL)
+  SELECT id, CASE WHEN n > 0 AND coalesce(t, a, c) IS NOT NULL THEN coalesce(head, 'x') END AS title, CASE WHEN n > 0 THEN nullif(concat_ws(E'\n\n', t, a, c), '') END AS content, CASE WHEN n > 0 AND coalesce(t, a, c) IS NOT NULL THEN 'trafilatura' END AS source FROM p""")
 def html_articles(spark, d):
-    return _pages(spark, d).select("id", html_pages.articles(F.col("html")).alias("a")).select("id", "a.*")
+    return _pages(spark, d).select("id", html_pages.articles(F.col("html")).alias("a")).select("id", "a.title", "a.content", "a.source")
 
 
-@query()
+@query(f"""SELECT url, 'parse_section_2' AS _callback, nullif(coalesce(title, ''), '') AS name, lower(nullif({_bare("coalesce(author, '')")}, '')) AS by FROM scraped_items WHERE url LIKE '%/item/%' OR url LIKE '%/topic/%'""")
 def html_records(spark, d):
     from webloom.plans.config import records as compiled
 
-    config = {"name": "demo", "sections": [{"match": "/story/", "extract": "auto"}, {"match": "/item/", "extract": {"name": "h1::text", "by": {"css": "p.by", "to_text": True, "processors": [{"type": "lowercase"}]}}}, {"match": "/list/"}]}
+    by = {"css": "p.by", "to_text": True, "own_text": True, "processors": [{"type": "lowercase"}]}
+    config = {"name": "demo", "source_url": "https://a.example/", "allowed_domains": ["a.example"], "start_urls": ["https://a.example/"], "sections": [{"match": ["/list/"], "priority": 9}, {"match": ["/item/", "/topic/"], "extract": {"name": {"css": "h1::text"}, "by": by}}]}
     return compiled(_pages(spark, d).select("url", "html"), config)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS d, event_id % 2 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  t AS (SELECT user_id, n, event_id, CAST(0 AS INTEGER) AS lane, true AS opened, [struct_pack(d := d, s := s, l := CAST(0 AS INTEGER))] AS held FROM e WHERE n = 1
+    UNION ALL SELECT user_id, n, event_id, lane, opened, list_append(list_filter(held, lambda x: x.l <> lane), struct_pack(d := d, s := s, l := lane)) FROM (
+      SELECT user_id, n, event_id, d, s, held, CAST(CASE WHEN len(hit) > 0 THEN hit[1].l WHEN len(held) < 3 THEN len(held) ELSE held[1].l END AS INTEGER) AS lane, len(hit) = 0 OR hit[1].s <> s AS opened FROM (
+        SELECT e.user_id, e.n, e.event_id, e.d, e.s, t.held, list_filter(t.held, lambda x: x.d = e.d) AS hit FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1)))
+  SELECT user_id, event_id, lane, opened FROM t""")
 def lane_assignment(spark, d):
     log = events(spark, d).select("user_id", "event_id", "event_type", (F.col("event_id") % 2).alias("s"))
     return stats.lanes(log, "user_id", "event_id", "event_type", "s", 3)
@@ -516,7 +576,7 @@ def _sql(text: str):
         for name in ("orders", "customer", "nation", "region", "lineitem", "supplier", "part"):
             if name in text:
                 table(spark, d, name).createOrReplaceTempView(name)
-        return store.checked_sql(spark, text)
+        return store.checked_sql(spark, text, ("orders", "customer", "nation", "region", "lineitem", "supplier", "part"))
 
     return run
 
@@ -532,5 +592,42 @@ def affected_rows(spark, d):
     return store.affected(spark, "UPDATE crawl_queue SET status = 'pending' WHERE status = 'failed' AND retry_count > 1")
 
 
-QUERIES |= timestamp_queries.QUERIES
+def _changed(spark, d, statement: str) -> DataFrame:
+    queue(spark, d).createOrReplaceTempView("crawl_queue")
+    return store.rewritten(spark, statement)
+
+
+@query("SELECT id, CASE WHEN status = 'failed' AND retry_count > 1 THEN 'pending, again' ELSE status END AS status, CASE WHEN status = 'failed' AND retry_count > 1 THEN priority + 1 ELSE priority END AS priority FROM crawl_queue")
+def sql_update(spark, d):
+    return _changed(spark, d, "UPDATE crawl_queue SET status = 'pending, again', priority = priority + 1 WHERE status = 'failed' AND retry_count > 1;").select("id", "status", "priority")
+
+
+@query("SELECT id FROM crawl_queue WHERE NOT coalesce(status = 'completed' OR error_message LIKE '%timeout%', false)")
+def sql_delete(spark, d):
+    return _changed(spark, d, "delete from crawl_queue where status = 'completed' or error_message like '%timeout%'").select("id")
+
+
+def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Events read as a stream of files, in one pass over what is there, through snapshots."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    read = spark.readStream.schema(events(spark, d).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+    streams.to_snapshots(make(read), f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out/*")
+
+
+@query(ORACLE_SQL["block_learning"])
+def stream_block_learning(spark, d):
+    """The stateful stream gives what the batch form gives."""
+    got = _streamed(spark, d, lambda s: streams.block_learning(s.withColumn("blocked", F.col("event_type") == "error"), "user_id", "blocked", ["ts", "event_id"]))
+    return got.select("user_id", "event_id", "blocked", "via_proxy", "failed")
+
+
+@query(ORACLE_SQL["delta_skip"])
+def stream_delta_skip(spark, d):
+    got = _streamed(spark, d, lambda s: streams.not_stored_before(s.withColumn("s", F.col("event_type") != "error"), ["user_id", "event_type"], "s", ["ts", "event_id"]))
+    return got.select("event_id")
+
+
+QUERIES |= timestamp_queries.QUERIES | cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL
 

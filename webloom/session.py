@@ -38,10 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or where that
-    is unset, as in tests, a temporary one of this process."""
+    is unset and the master local, as in tests, a temporary one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
     made = tempfile.mkdtemp(prefix="webloom-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")

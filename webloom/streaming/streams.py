@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,49 +16,73 @@ def timed(stream: DataFrame, column: str = "ts", late: str = "1 hour") -> DataFr
     return stream.withColumn(column, F.to_utc_timestamp(F.col(column).cast("timestamp"), "UTC")).withWatermark(column, late)
 
 
-def without_repeats(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """First events of each key within the watermark, so the state stays bounded."""
-    return stream.dropDuplicatesWithinWatermark(keys)
+def without_repeats(stream: DataFrame, keys: list[str], bypass: Column | None = None) -> DataFrame:
+    """First events of each key within the watermark, so the state stays bounded; events
+    that ``bypass`` the filter all pass."""
+    if bypass is None:
+        return stream.dropDuplicatesWithinWatermark(keys)
+    through = F.coalesce(bypass, F.lit(False))
+    once = stream.where(~through).dropDuplicatesWithinWatermark(keys)
+    return once.unionByName(stream.where(through))
 
 
-def not_stored_before(stream: DataFrame, keys: list[str], stores: str) -> DataFrame:
+def _ordered(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame | None:
+    """A key's rows of a micro-batch in the order of events, not of arrival."""
+    parts = [f for f in frames if len(f)]
+    return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable") if parts else None
+
+
+def _kept(state: GroupState, values: tuple, idle: str | None) -> None:
+    state.update(values)
+    if idle:
+        state.setTimeoutDuration(idle)
+
+
+def not_stored_before(stream: DataFrame, keys: list[str], stores: str, order: list[str], idle: str | None = None) -> DataFrame:
     """Requests whose key no earlier request stored: the key and whether it is stored
-    are the state; a request stores its key when column ``stores`` is true."""
+    are the state; a request stores its key when column ``stores`` is true. A key without
+    requests for ``idle`` is forgotten; without it states are kept for ever."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         stored = state.exists and state.get[0]
-        for pdf in frames:
-            kept = []
-            for n, s in enumerate(pdf[stores]):
-                if not stored:
-                    kept.append(n)
-                stored = stored or bool(s)
-            if kept:
-                yield pdf.iloc[kept]
-        state.update((stored,))
+        rows = _ordered(frames, order)
+        if rows is None:
+            return
+        hits = rows[stores].fillna(False).astype(bool).to_numpy()
+        before = hits.cumsum() - hits > 0
+        if not stored and not before.all():
+            yield rows[~before]
+        _kept(state, (bool(stored or hits.any()),), idle)
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, stream.schema, "stored BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(step, stream.schema, "stored BOOLEAN", "append", timeout)
 
 
-def block_learning(stream: DataFrame, domain: str, blocked: str) -> DataFrame:
+def block_learning(stream: DataFrame, domain: str, blocked: str, order: list[str], idle: str | None = None) -> DataFrame:
     """Requests with ``via_proxy`` (an earlier one of the domain was blocked) and
-    ``failed`` (blocked through the proxy)."""
+    ``failed`` (blocked through the proxy). ``idle`` as in ``not_stored_before``."""
     from pyspark.sql.types import BooleanType, StructType
 
     schema = StructType(list(stream.schema.fields)).add("via_proxy", BooleanType()).add("failed", BooleanType())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.exists and state.get[0]
-        for pdf in frames:
-            via = []
-            for b in pdf[blocked]:
-                via.append(seen)
-                seen = seen or bool(b)
-            out = pdf.assign(via_proxy=via)
-            yield out.assign(failed=out[blocked].astype(bool) & out["via_proxy"])
-        state.update((seen,))
-
-    return stream.groupBy(domain).applyInPandasWithState(step, schema, "seen BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+        rows = _ordered(frames, order)
+        if rows is None:
+            return
+        hits = rows[blocked].fillna(False).astype(bool).to_numpy()
+        via = (hits.cumsum() - hits > 0) | bool(seen)
+        yield rows.assign(via_proxy=via, failed=hits & via)
+        _kept(state, (bool(seen or hits.any()),), idle)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy(domain).applyInPandasWithState(step, schema, "seen BOOLEAN", "append", timeout)
 
 
 def rates(stream: DataFrame, by: str, width: str = "1 hour", slide: str | None = None, column: str = "ts") -> DataFrame:
