@@ -5,9 +5,9 @@ Three steps, all JVM expressions:
 1. ``parse_timestamps`` reads a string into local calendar fields and whatever
    zone the string itself names.
 2. Each source gets the offset history (an IANA zone) that its zone-less strings
-   follow. Candidates come from its settings, or, if wanted, from the zones in use
+   follow. Candidates come from its settings, or, if wanted, from all IANA histories
    where it has none; of several the one with the fewest violations against the
-   ingestion times wins (``estimate_zones``).
+   ingestion times wins (``estimate_zones``). ``estimated`` takes no settings at all.
 3. ``to_utc`` converts. Of two possible instants the earlier is taken; a date
    alone means its first moment.
 
@@ -18,12 +18,14 @@ gives null; repeated rows stay repeated; extra columns pass through.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.session import stored
+
 # Month names (with their usual abbreviations and genitives) by number.
 MONTHS = {
     1: "january jan januar januari janvier janv enero ene janeiro gennaio gen stycznia styczeń января январь янв",
@@ -169,20 +171,37 @@ def abbreviations(spark: SparkSession, zones: list[str], years: tuple[int, int]
     return spark.createDataFrame([(*k, s) for k, s in latest.items()] or [("", "", 0, 0)], "_zone STRING, _word STRING, _year INT, _seconds INT")
 
 
+def histories(years: tuple[int, int], zones: list[str] | None = None) -> dict[str, str]:
+    """Every IANA zone with the zone that stands for its offset history over some years:
+    zones whose offsets agree week by week are one history, named after the first of them.
+    About 150 histories, whatever the data."""
+    weeks = [datetime(years[0], 1, 1, tzinfo=timezone.utc) + timedelta(weeks=w) for w in range(53 * (years[1] - years[0] + 1))]
+    first: dict[tuple, str] = {}
+    out = {}
+    for name in sorted(zones or known_zones(), key=lambda n: (n not in ("UTC", "GMT"), n)):
+        zone = ZoneInfo(name)
+        out[name] = first.setdefault(tuple(w.astimezone(zone).utcoffset() for w in weeks), name)
+    return out
+
+
 def estimate_zones(rows: DataFrame, source: str, local: str, ingested: str, candidates: DataFrame, window_minutes: int = 360) -> DataFrame:
     """The offset history of each source that its zone-less times violate least.
 
     ``candidates`` holds (source, _zone). A row violates a history when the
     instant it gives lies after the row was ingested; it supports one when it
-    lies at most ``window_minutes`` before. Cost = 3 x violations - support, so a
+    lies at most ``window_minutes`` before, the more the nearer it lies, since rows are
+    ingested soon after they are published. Cost = 3 x violations - support, so a
     zone cannot win by placing everything far in the past; ties go to the
     smaller name. Rows are first counted by source, local hour and lag in
-    quarter hours, so candidates meet a bounded histogram and not the rows, and
-    a source with a third of all rows is one small group.
+    quarter hours (lags no offset can bring into the window count as two bins), so
+    candidates meet a bounded histogram and not the rows, and a source with a third of
+    all rows is one small group.
 
     Returns (source, _zone, rows, violations, support) with one row a source.
     """
+    width, widest = window_minutes // 15, 15 * 4
     lag = F.floor(F.expr(f"timestampdiff(SECOND, {local}, {ingested})") / 900)
+    lag = F.greatest(F.lit(-widest - 1), F.least(F.lit(width + widest + 1), lag))
     seen = rows.where(F.col(local).isNotNull() & F.col(ingested).isNotNull())
     seen = seen.groupBy(F.col(source), F.expr(f"CAST(date_trunc('HOUR', {local}) AS TIMESTAMP_NTZ)").alias("_hour"), lag.alias("_lag")).agg(F.count("*").alias("_n"))
     seen = seen.join(candidates, source)
@@ -191,7 +210,7 @@ def estimate_zones(rows: DataFrame, source: str, local: str, ingested: str, cand
     costs = seen.groupBy(source, "_zone").agg(
         F.sum("_n").alias("rows"),
         F.sum(F.when(after < 0, F.col("_n")).otherwise(0)).alias("violations"),
-        F.sum(F.when(after.between(0, window_minutes // 15), F.col("_n")).otherwise(0)).alias("support"),
+        F.sum(F.when(after.between(0, width), F.col("_n") * (1 - after / (width + 1))).otherwise(0.0)).alias("support"),
     )
     best = Window.partitionBy(source).orderBy(F.col("violations") * 3 - F.col("support"), "_zone")
     return costs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
@@ -232,7 +251,7 @@ def normalise_published(rows: DataFrame, settings: DataFrame, text: str = "publi
 
     A source's candidates are the zones its settings name. One needs no choice; of
     several the column ``ingested`` decides (without it the first by name). A
-    source without any is in UTC, or with ``guess`` in the zone of all those in use
+    source without any is in UTC, or with ``guess`` in the history of all there are
     that its ingestion times fit best.
     """
     spark = rows.sparkSession
@@ -241,6 +260,8 @@ def normalise_published(rows: DataFrame, settings: DataFrame, text: str = "publi
     sites = sites.withColumn("_zones", F.filter("_zones", lambda z: z.isin(regions)))
     # At most as many rows as there are IANA zones.
     named = sorted({"UTC", *(r[0] for r in sites.select(F.explode("_zones")).distinct().collect())})
+    if guess:
+        named = sorted({*named, *histories(HISTORY_YEARS).values()})
     every = F.array(*[F.lit(z) for z in named])
     parsed = parse_timestamps(rows.join(sites, source, "left"), text, "_order")
     choice = F.get("_zones", F.lit(0))
@@ -260,6 +281,29 @@ def normalise_published(rows: DataFrame, settings: DataFrame, text: str = "publi
     return out.select(*rows.columns, "utc")
 
 
+#: Years over which offset histories are told apart.
+HISTORY_YEARS = (2015, 2030)
+
+
+def estimated(rows: DataFrame, settings: DataFrame, text: str = "published_date", source: str = "spider_id", ingested: str = "scraped_at") -> tuple[DataFrame, DataFrame]:
+    """(instants, sources) of the rows that name no zone, as if no source had a setting:
+    instants are the rows with ``utc`` by the estimated history and ``agrees``, whether the
+    configured zone gives the same; sources (source, configured, estimated, rows,
+    agreeing, violations, support)."""
+    spark = rows.sparkSession
+    known = site_settings(settings).select(F.col("spider_id").alias(source), "_order", F.coalesce(F.get("_zones", F.lit(0)), F.lit("UTC")).alias("configured"))
+    free = parse_timestamps(rows.join(known, source), text, "_order").where("_free AND _local IS NOT NULL")
+    candidates = free.select(source).distinct().withColumn("_zone", F.explode(F.array(*[F.lit(z) for z in sorted(set(histories(HISTORY_YEARS).values()))])))
+    found = stored(estimate_zones(free, source, "_local", ingested, candidates), "zones")
+    chosen = free.join(found.select(source, F.col("_zone").alias("estimated")), source)
+    at = lambda zone: F.convert_timezone(F.col(zone), F.lit("UTC"), F.col("_local"))
+    regions = F.col("configured").isin(known_zones(spark))
+    instants = chosen.withColumn("utc", F.date_format(at("estimated"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("agrees", F.when(regions, at("estimated") == at("configured")).otherwise(False))
+    counts = instants.groupBy(source, "configured").agg(F.count_if("agrees").alias("agreeing"))
+    sources = counts.join(found, source).select(source, "configured", F.col("_zone").alias("estimated"), "rows", "agreeing", "violations", "support")
+    return instants.select(*rows.columns, "utc", "agrees"), sources
+
+
 def published_rows(items: DataFrame, export: DataFrame, export_name: str) -> DataFrame:
     """(tbl, id, spider_id, published_date, scraped_at) of the items and of the
     export, whose rows take the spider of the item with their id."""

@@ -24,16 +24,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("utc").isNotNull()).select("tbl", "id", "utc").distinct()
 
 
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).where(F.col("published_date").isNotNull())
+
+
+def p1_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose time names no zone, converted by the offset history its source's
+    ingestion times fit best among all IANA histories, and whether the setting agrees."""
+    return ts.estimated(_dated(spark, sf_dir), table(spark, sf_dir, "spider_settings"))[0].select("tbl", "id", "utc", "agrees").distinct()
+
+
 def p1_zone_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every spider the zone its zone-less strings fit best, beside the
-    configured one: found from ingestion times alone, among the zones in use."""
-    settings = ts.site_settings(table(spark, sf_dir, "spider_settings")).select("spider_id", "_order", F.coalesce(F.get("_zones", F.lit(0)), F.lit("UTC")).alias("configured"))
-    zones = sorted({"UTC", *(r[0] for r in settings.select("configured").distinct().collect())})
-    parsed = ts.parse_timestamps(_rows(spark, sf_dir).join(settings, "spider_id"), "published_date", "_order")
-    free = parsed.where("_free")
-    candidates = free.select("spider_id").distinct().withColumn("_zone", F.explode(F.array(*[F.lit(z) for z in zones])))
-    found = ts.estimate_zones(free, "spider_id", "_local", "scraped_at", candidates).join(settings, "spider_id")
-    return found.select("spider_id", "configured", F.col("_zone").alias("estimated"), "rows", "violations", "support")
-
-
-QUERIES = {"p1_found": p1_found, "p1_zone_histories": p1_zone_histories}
+    """For every spider the estimated history beside the configured zone, and for how many
+    of its rows both give the same instant."""
+    return ts.estimated(_dated(spark, sf_dir), table(spark, sf_dir, "spider_settings"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_estimated": p1_estimated, "p1_zone_histories": p1_zone_histories}
