@@ -205,10 +205,10 @@ def list_steps(spark):
 _DATES = {"2026-02-22": "2026-02-22 00:00:00", "February 22, 2026": "2026-02-22 00:00:00", "22 février 2026 à 18h45": "2026-02-22 18:45:00", "02/03/2026": "2026-02-03 00:00:00", "2026-02-22T11:00:00-05:00": "2026-02-22 16:00:00", "Sun, 22 Feb 2026 10:00:00 GMT": "2026-02-22 10:00:00", "1771754400": "2026-02-22 10:00:00", "2026-02-22 14:43 Europe/Paris": "2026-02-22 13:43:00", "2 weeks ago": "2026-02-15 12:00:00", "yesterday": "2026-02-28 12:00:00", "a month ago": "2026-02-01 12:00:00", "no date": None, "31/31/2026": None, "": None}
 
 
-@case("v STRING, at TIMESTAMP_NTZ", *_DATES.items())
+@case("v STRING, moment TIMESTAMP_NTZ", *_DATES.items())
 def free_dates(spark):
     rows = _rows(spark, "v STRING", *((v,) for v in _DATES))
-    return rows.select("v", proc.parse_datetime(F.col("v"), as_of=F.lit("2026-03-01 12:00:00").cast("timestamp_ntz")).alias("at"))
+    return rows.select("v", proc.parse_datetime(F.col("v"), as_of=F.lit("2026-03-01 12:00:00").cast("timestamp_ntz")).alias("moment"))
 
 
 @case("id BIGINT, listed STRING, deep STRING, names STRING, utc STRING", (1, "x", "1", "A, B", "2026-02-22T16:00:00"), (2, None, None, None, None), (3, None, '"y"', None, None))
@@ -237,10 +237,10 @@ _DATED = {
 }
 
 
-@case("id BIGINT, at STRING", *((n, d) for n, d in enumerate(_DATED.values(), 1)))
+@case("id BIGINT, moment STRING", *((n, d) for n, d in enumerate(_DATED.values(), 1)))
 def meta_dates(spark):
     """Open Graph, then linked data, microdata, times; none follows one that cannot be read."""
-    return _pages(spark, *_DATED).select("id", html.per_page(F.col("html"), html.meta_date).alias("at"))
+    return _pages(spark, *_DATED).select("id", html.per_page(F.col("html"), html.meta_date).alias("moment"))
 
 
 _LD = '<script type="application/ld+json">{"author": %s}</script>'
@@ -459,7 +459,7 @@ def schema_coverage(spark):
 # Store and jobs
 
 
-@case("spider STRING, project STRING, state STRING, downloaded BIGINT, with_content BIGINT, eligible BIGINT, start STRING, end STRING, last STRING", ("s1", "p", "running", 7, 2, 5, "2026-02-28T10:00:00", None, "2h"), ("s2", "-", "killed", 0, 0, 0, "2026-02-28T09:00:00", "2026-02-28T09:30:00", "-"), ("s3", "p", "failed", 0, 0, 0, None, None, "-"), ("s4", "p", "queued", 0, 0, 0, None, None, "-"))
+@case("spider STRING, project STRING, state STRING, downloaded BIGINT, with_content BIGINT, eligible BIGINT, began STRING, ended STRING, latest STRING", ("s1", "p", "running", 7, 2, 5, "2026-02-28T10:00:00", None, "2h"), ("s2", "-", "killed", 0, 0, 0, "2026-02-28T09:00:00", "2026-02-28T09:30:00", "-"), ("s3", "p", "failed", 0, 0, 0, None, None, "-"), ("s4", "p", "queued", 0, 0, 0, None, None, "-"))
 def job_status(spark):
     """The newest task of a spider by number; labels of other programs are left out."""
     done = {"start": "2026-02-28T09:00:00", "end": "2026-02-28T09:30:00", "result": "Killed"}
@@ -467,7 +467,8 @@ def job_status(spark):
     text = json.dumps({"tasks": {n: {"label": label, "status": status} for n, (label, status) in tasks.items()}})
     status = stats.jobs(_rows(spark, "status STRING", (text,), ("broken",)))
     held = _rows(spark, "project STRING, spider STRING, total BIGINT, with_content BIGINT, eligible BIGINT, modified STRING", ("p", "s1", 7, 2, 5, "2026-02-28 22:00:00"), ("p", "s9", 1, 1, 1, "2026-02-28 22:00:00")).withColumn("modified", F.col("modified").cast("timestamp_ntz"))
-    return stats.job_status(status, held, F.lit("2026-03-01 00:00:00").cast("timestamp_ntz"), "run")
+    got = stats.job_status(status, held, F.lit("2026-03-01 00:00:00").cast("timestamp_ntz"), "run")
+    return got.withColumnsRenamed({"start": "began", "end": "ended", "last": "latest"})
 
 
 @case("task BIGINT, word STRING", (1, "running"), (2, "queued"), (3, "paused"), (4, "done"), (5, "killed"), (6, "failed"), (7, "unknown"))
@@ -605,6 +606,7 @@ def rendered_results(spark):
     return _rows(spark, "form STRING, text STRING", *((f, "\n".join(files.rendered(df, f))) for f in ("table", "csv", "json")))
 
 
-@case("position INT, column STRING, type STRING, nullable BOOLEAN", (1, "id", "bigint", True), (2, "tags", "array<string>", True))
+@case("place INT, name STRING, kind STRING, optional BOOLEAN", (1, "id", "bigint", True), (2, "tags", "array<string>", True))
 def table_schema(spark):
-    return files.described(_rows(spark, "id BIGINT, tags ARRAY<STRING>", (1, ["x"])))
+    got = files.described(_rows(spark, "id BIGINT, tags ARRAY<STRING>", (1, ["x"])))
+    return got.toDF("place", "name", "kind", "optional")

@@ -536,12 +536,12 @@ def html_articles(spark, d):
     return _pages(spark, d).select("id", html_pages.articles(F.col("html")).alias("a")).select("id", "a.title", "a.content", "a.source")
 
 
-@query(f"""SELECT url, 'parse_section_2' AS _callback, nullif(coalesce(title, ''), '') AS name, lower(nullif({_bare("coalesce(author, '')")}, '')) AS by FROM scraped_items WHERE url LIKE '%/item/%' OR url LIKE '%/topic/%'""")
+@query(f"""SELECT url, 'parse_section_2' AS _callback, nullif(coalesce(title, ''), '') AS name, lower(nullif({_bare("coalesce(author, '')")}, '')) AS byline FROM scraped_items WHERE url LIKE '%/item/%' OR url LIKE '%/topic/%'""")
 def html_records(spark, d):
     from webloom.plans.config import records as compiled
 
     by = {"css": "p.by", "to_text": True, "own_text": True, "processors": [{"type": "lowercase"}]}
-    config = {"name": "demo", "source_url": "https://a.example/", "allowed_domains": ["a.example"], "start_urls": ["https://a.example/"], "sections": [{"match": ["/list/"], "priority": 9}, {"match": ["/item/", "/topic/"], "extract": {"name": {"css": "h1::text"}, "by": by}}]}
+    config = {"name": "demo", "source_url": "https://a.example/", "allowed_domains": ["a.example"], "start_urls": ["https://a.example/"], "sections": [{"match": ["/list/"], "priority": 9}, {"match": ["/item/", "/topic/"], "extract": {"name": {"css": "h1::text"}, "byline": by}}]}
     return compiled(_pages(spark, d).select("url", "html"), config)
 
 
