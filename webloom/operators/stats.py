@@ -146,6 +146,13 @@ def job_status(tasks: DataFrame, files: DataFrame, as_of: Column, prefix: str =
     return joined.select(newest["spider"], F.coalesce(newest["project"], F.lit("-")).alias("project"), job_state(F.col("status")).alias("state"), zero("total").alias("downloaded"), zero("with_content"), zero("eligible"), "_t.start", "_t.end", F.when(age.isNotNull(), ago(age)).otherwise("-").alias("last"))
 
 
+def item_limit(items: DataFrame, most: int, order: list[str], by: str = "spider_id") -> DataFrame:
+    """The first ``most`` items of each spider: what a crawl that stops at a number of items
+    keeps. Each task keeps its own first ones before the shuffle."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
 def active_task(tasks: DataFrame, label: str) -> DataFrame:
     """(task): the tasks of a label that are not finished; a run with one is refused."""
     return tasks.where((F.col("label") == label) & ~job_state(F.col("status")).isin("done", "killed", "failed")).select("task")

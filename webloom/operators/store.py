@@ -239,6 +239,23 @@ def checked_sql(spark: SparkSession, text: str, tables: tuple[str, ...] | None =
     return spark.sql(text)
 
 
+# Functions within SQL; Spark puts their bodies into the plan, so nothing is called by row.
+_FUNCTIONS = {
+    "url_host(u STRING) RETURNS STRING": r"lower(regexp_replace(regexp_replace(nullif(regexp_extract(u, r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), r'^.*@', ''), r':\d*$', ''))",
+    "url_is_pdf(u STRING) RETURNS BOOLEAN": r"endswith(lower(regexp_replace(u, r'[?#].*', '')), '.pdf')",
+    "spider_name(u STRING) RETURNS STRING": r"translate(regexp_replace(nullif(regexp_extract(u, r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), r'^[w.]+', ''), '.-', '__')",
+    "has_text(t STRING) RETURNS BOOLEAN": r"coalesce(regexp_replace(t, r'(?U)^\s+|\s+$', '') <> '', false)",
+    "without_tags(t STRING) RETURNS STRING": r"CASE WHEN contains(t, '<') THEN regexp_replace(regexp_replace(t, r'<[^>]+>', ''), r'(?U)^\s+|\s+$', '') ELSE t END",
+}
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Registers the engine's functions for SQL in a session; their names."""
+    for head, body in _FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    return [head.split("(")[0] for head in _FUNCTIONS]
+
+
 def _statement(text: str) -> tuple[str, str | None, str | None]:
     """(table, assignments or None, condition or None) of an UPDATE or DELETE."""
     m = re.match(r"(?is)^\s*(?:update\s+(\w+)\s+set\s+(.+?)|delete\s+from\s+(\w+))(?:\s+where\s+(.*))?$", text.strip().rstrip(";"))

@@ -376,6 +376,19 @@ def listing_details(spark):
     return config.records(pages, _WALK)
 
 
+_ASKED = {**_BASE, "rules": [{"callback": "parse_item"}], "callbacks": {"parse_item": {"extract": {"name": {"css": "h1::text"}, "votes": {"type": "ajax_nested_list", "ajax_url": "/v", "selector": "x", "response_type": "json_array", "response_json_field": "d", "extract": {"n": {"json_path": "n"}}}, "more": {"type": "ajax_nested_list", "ajax_url": "/m", "selector": "x", "response_type": "json_object", "extract": {"stock": {"json_path": "s.0"}, "name": {"json_path": "name"}}}, "notes": {"type": "ajax_nested_list", "ajax_url": "/c", "selector": "p", "response_json_field": "html", "extract": {"t": {"css": "::text"}}}}}}}
+
+
+@case("url STRING, name STRING, votes STRING, stock STRING, notes STRING", ("https://a.example/1", "Over", '[{"n":"1"},{"n":"2"},{"n":null}]', "7", '[{"t": "a"}, {"t": "b"}]'), ("https://a.example/2", "Two", None, None, "[]"))
+def interface_fields(spark):
+    """Lists of several answers in order, an object merged flat, HTML within JSON; a page
+    without answers keeps what it has."""
+    pages = _rows(spark, "url STRING, html STRING", ("https://a.example/1", "<h1>One</h1>"), ("https://a.example/2", "<h1>Two</h1>"))
+    told = [("votes", 2, '{"d": [{"x": 1}]}'), ("votes", 1, '{"d": [{"n": 1}, {"n": 2}]}'), ("more", 1, '{"s": [7], "name": "Over"}'), ("notes", 1, '{"html": "<p>a</p><p>b</p>"}'), ("other", 1, "{}")]
+    answers = _rows(spark, "url STRING, field STRING, page INT, body STRING", *(("https://a.example/1", *t) for t in told))
+    return config.records(pages, _ASKED, responses=answers).drop("_callback")
+
+
 _FIELDS = {"title": {"css": "h9::text"}, "byline": {"from": "author"}, "image": {"from": "top_image"}, "tags": {"css": "i::text", "get_all": True, "processors": [{"type": "join", "separator": "+"}]}, "price": {"css": ".p::text", "processors": [{"type": "regex", "pattern": r"(\d+)"}, {"type": "cast", "to": "int"}]}}
 _SCHEMA = [{"name": n} for n in ("title", "content", "byline", "image", "tags", "price", "sku")]
 

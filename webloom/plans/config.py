@@ -297,8 +297,9 @@ def reader_order(settings: dict[str, Any]) -> list[str]:
     return order + (["playwright"] if settings.get("INFINITE_SCROLL") and "playwright" not in order else [])
 
 
-def records(pages: DataFrame, config: dict[str, Any], schema: list[dict[str, Any]] | None = None, include_html: bool = False) -> DataFrame:
-    """Records of the pages (url, html) that a rule sends to a callback.
+def records(pages: DataFrame, config: dict[str, Any], schema: list[dict[str, Any]] | None = None, include_html: bool = False, responses: DataFrame | None = None) -> DataFrame:
+    """Records of the pages (url, html) that a rule sends to a callback. Fields that come from
+    an interface are read from its recorded ``responses`` (url, field, page, body).
 
     Route, parse each page once, run the processors, then keep what the project's
     schema names; its fields that nobody fills are null. A directive that finds
@@ -321,7 +322,7 @@ def records(pages: DataFrame, config: dict[str, Any], schema: list[dict[str, Any
             extract = config["callbacks"].get(target, {}).get("extract") or {}
             parts.append(details(rows, pages, extract, target))
         else:
-            parts.append(_called(own, callback["extract"]))
+            parts.append(_called(own, callback["extract"], responses))
     if not parts:
         return pages.select("url").where("false")
     out = parts[0]
@@ -360,10 +361,42 @@ def _articles(pages: DataFrame, settings: dict[str, Any], schema: list[dict[str,
     return read.select("url", "_callback", *[c.alias(f) for f, c in out.items()])
 
 
-def _called(pages: DataFrame, extract: dict[str, dict[str, Any]]) -> DataFrame:
-    """(url, _callback, fields): the fields a callback extracts from each page."""
-    own = pages.withColumn("_x", html_pages.extract(F.col("html"), extract))
-    return own.select("url", "_callback", *[_processed(F.col(f"_x.`{f}`"), d).alias(f) for f, d in extract.items()])
+def _called(pages: DataFrame, extract: dict[str, dict[str, Any]], responses: DataFrame | None = None) -> DataFrame:
+    """(url, _callback, fields): the fields a callback extracts from each page, in order; an
+    object from an interface is merged flat, its members over fields before it."""
+    asked = {f: d for f, d in extract.items() if d.get("type") == "ajax_nested_list"}
+    plain = {f: d for f, d in extract.items() if f not in asked}
+    own = pages.withColumn("_x", html_pages.extract(F.col("html"), plain)) if plain else pages
+    if asked:
+        if responses is None:
+            responses = pages.sparkSession.createDataFrame([], "url STRING, field STRING, page INT, body STRING")
+        # Pages of one interface are few: one array a page and field, in order.
+        told = responses.where(F.col("field").isin(list(asked))).groupBy(F.col("url").alias("_u")).agg(F.array_sort(F.collect_list(F.struct("field", "page", "body"))).alias("_told"))
+        own = own.join(told, own["url"] == told["_u"], "left")
+    out: dict[str, Column] = {}
+    for f, d in extract.items():
+        if f not in asked:
+            out[f] = _processed(F.col(f"_x.`{f}`"), d)
+            continue
+        bodies = _answers(f)
+        at, kind = d.get("response_json_field"), d.get("response_type") or "json_html"
+        if kind == "json_array":
+            out[f] = F.to_json(F.flatten(_all_rows(bodies, d["extract"], at)), {"ignoreNullFields": "false"})
+        elif kind == "json_object":
+            one = json_record(F.get(bodies, F.lit(0)), d["extract"], at)
+            out |= {name: F.coalesce(one[name], out[name].cast("string")) if name in out else one[name] for name, part in d["extract"].items() if part.get("json_path")}
+        else:
+            out[f] = json_nested(F.get(bodies, F.lit(0)), d, at)
+    return own.select("url", "_callback", *[c.alias(f) for f, c in out.items()])
+
+
+def _answers(name: str) -> Column:
+    """The bodies recorded for one field of a page."""
+    return F.transform(F.filter("_told", lambda x: x["field"] == name), lambda x: x["body"])
+
+
+def _all_rows(bodies: Column, extract: dict[str, dict[str, Any]], at: str | None) -> Column:
+    return F.filter(F.transform(bodies, lambda b: json_rows(b, extract, at)), lambda rows: rows.isNotNull())
 
 
 def _processed(c: Column, d: dict[str, Any]) -> Column:

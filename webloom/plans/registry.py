@@ -556,6 +556,32 @@ def lane_assignment(spark, d):
     return stats.lanes(log, "user_id", "event_id", "event_type", "s", 3)
 
 
+@query("SELECT id, spider_id FROM (SELECT id, spider_id, row_number() OVER (PARTITION BY spider_id ORDER BY scraped_at, id) AS n FROM scraped_items) WHERE n <= 5")
+def item_limit(spark, d):
+    return stats.item_limit(items(spark, d).select("id", "spider_id", "scraped_at"), 5, ["scraped_at", "id"]).select("id", "spider_id")
+
+
+@query(rf"""WITH r AS (SELECT id, spider_id, coalesce(allow_patterns, []) AS a, coalesce(deny_patterns, []) AS d, priority FROM spider_rules),
+  u AS (SELECT id, spider_id, url || CASE id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG?x' ELSE '' END AS url FROM scraped_items),
+  m AS (SELECT u.id, r.id AS rule_id, row_number() OVER (PARTITION BY u.id ORDER BY r.priority DESC, r.id) AS n FROM u JOIN r ON r.spider_id = u.spider_id
+    WHERE NOT regexp_matches(lower({_PATH.format(c="u.url")}), '\.jpg$') AND (len(r.a) = 0 OR len(list_filter(r.a, lambda p: regexp_matches(u.url, p))) > 0) AND len(list_filter(r.d, lambda p: regexp_matches(u.url, p))) = 0)
+  SELECT u.id, m.rule_id FROM u LEFT JOIN m ON m.id = u.id AND m.n = 1""")
+def rule_route_endings(spark, d):
+    """File endings that are no pages are taken by no rule; here PDFs are let through."""
+    ending = F.when(F.col("id") % 3 == 0, ".pdf").when(F.col("id") % 3 == 1, ".JPG?x").otherwise("")
+    links = items(spark, d).select("id", "spider_id", F.concat("url", ending).alias("url"))
+    return routing.route(links, rules(spark, d), keep_pdf=True).select("id", "rule_id")
+
+
+@query(rf"""SELECT id, {_HOST.format(c="url")} AS host, lower(regexp_replace(url, '[?#].*', '')) LIKE '%.pdf' AS pdf, translate(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^[w.]+', ''), '.-', '__') AS spider,
+  regexp_replace(coalesce(content, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') <> '' AS filled FROM scraped_items""")
+def sql_functions(spark, d):
+    """The engine's functions within SQL."""
+    store.register_functions(spark)
+    items(spark, d).createOrReplaceTempView("scraped_items")
+    return store.checked_sql(spark, "SELECT id, url_host(url) AS host, url_is_pdf(url) AS pdf, spider_name(url) AS spider, has_text(content) AS filled FROM scraped_items")
+
+
 # Free SQL
 
 _SQL = {

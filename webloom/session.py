@@ -7,7 +7,8 @@ import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import cloudpickle
@@ -54,17 +55,29 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes the tables this process wrote with ``stored``; results that were not
-    yet read depend on them."""
-    while _WRITTEN:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables that ``stored`` writes within the block are deleted at its end; results
+    must be read or written before."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop_stored(spark, before)
+
+
+def drop_stored(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the tables this process wrote with ``stored``, but for the first ``keep``;
+    results that were not yet read depend on them."""
+    while len(_WRITTEN) > keep:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there,
-    so a lost executor costs a re-read, and readers share one computation."""
+    so a lost executor costs a re-read, and readers share one computation. The job runs
+    when this is called, so operators that use it compute while their plan is built."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
