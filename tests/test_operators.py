@@ -223,3 +223,28 @@ def test_sql_gate(spark):
     for text in ("UPDATE crawl_queue SET nope = 1", "DELETE FROM secret", "INSERT INTO crawl_queue VALUES (1)"):
         with pytest.raises(ValueError):
             store.rewritten(spark, text)
+
+
+def test_scratch_tables_are_deleted(spark):
+    kept = session.stored(spark.range(3), "kept")
+    with session.scratch(spark):
+        gone = session.stored(spark.range(2), "gone")
+        assert gone.count() == 2
+        path = gone.inputFiles()[0]
+    import os
+
+    assert kept.count() == 3 and not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+
+
+def test_empty_and_odd_inputs(spark):
+    """Every new operator over empty tables, nulls and clashing names."""
+    items = spark.createDataFrame([(1, 1, None, None, None, None, None), (2, None, "u", "t" * 100_000, "", "x", "{broken")], "id BIGINT, spider_id BIGINT, url STRING, content STRING, title STRING, _first_moment STRING, metadata_json STRING")
+    assert store.flattened(items).count() == 2 and store.exported(items.withColumns({"scraped_at": F.lit(""), "author": F.lit(""), "published_date": F.lit("")}), {}).count() == 2
+    assert stats.item_limit(items, 1, ["id"]).count() == 2 and stats.health(items.withColumn("scraped_at", F.lit(None).cast("timestamp"))).count() == 2
+    none = items.limit(0)
+    assert store.exported(none.withColumns({"scraped_at": F.lit(""), "author": F.lit(""), "published_date": F.lit("")}), {"a": {"extract": {"x": {}}}}).count() == 0
+    assert store.packed(none).count() == 0 and stats.jobs(none.select(F.col("url").alias("status"))).count() == 0
+    pages = none.select("url", F.col("content").alias("html"))
+    assert config.records(pages, {**BASE, "rules": [{"callback": "parse_article"}]}).count() == 0
+    assert routing.followed(pages, [{"allow": ["x"]}]).count() == 0 and routing.reachable(pages.select(F.col("url").alias("page"), "url"), pages.select("url"), 3).count() == 0
+    assert list(files.rendered(none.select("id"), "json")) == ["[]"]

@@ -85,3 +85,28 @@ def test_spiders_with_several_zones_take_the_best(spark):
     several = spark.createDataFrame([(1, 1, "SITE_TIMEZONE", "UTC"), (2, 1, "SITE_TIMEZONE", "Asia/Kolkata")], "id BIGINT, spider_id BIGINT, key STRING, value STRING")
     first = ts.normalise_published(df, several, ingested="scraped_at").orderBy("published_date").first()
     assert first.utc == "2024-02-29T18:30:00.000000Z"
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "Europe/Berlin"])
+def test_estimated_among_all_histories(spark, zone):
+    """Without any setting nearly all zone-less times get their instants back."""
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows, want = [], {}
+    for n in range(500):
+        instant = start + timedelta(hours=31 * n)
+        want[n] = instant.strftime("%Y-%m-%dT%H:%M:00.000000Z")
+        rows.append((n, 5, instant.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M"), (instant + timedelta(minutes=3 * (n % 50))).replace(tzinfo=None)))
+    rows += [(900, 5, None, None), (901, 5, "", start.replace(tzinfo=None)), (902, 5, "2024-02-31 10:00", start.replace(tzinfo=None)), (903, None, "2024-02-01 10:00", start.replace(tzinfo=None)), (904, 5, "2024-02-01T10:00Z", start.replace(tzinfo=None))]
+    df = spark.createDataFrame(rows, "n BIGINT, spider_id BIGINT, published_date STRING, scraped_at TIMESTAMP_NTZ")
+    known = settings(spark, [(None, "DMY")] * 6)
+    instants, sources = ts.estimated(df, known)
+    got = {r.n: r.utc for r in instants.collect()}
+    assert set(got) == set(want) and sum(got[n] == want[n] for n in want) >= 0.98 * len(want)
+    assert [(r.spider_id, r.configured, r["rows"]) for r in sources.collect()] == [(5, "UTC", 500)]
+    assert ts.estimated(df.limit(0), known)[0].count() == 0
+
+
+def test_abbreviations_of_distant_years(spark):
+    rows = spark.createDataFrame([(1, 0, "1935-03-12 12:00 EST"), (2, 0, "2080-03-01 12:00 EST")], "n INT, spider_id BIGINT, published_date STRING")
+    out = ts.normalise_published(rows, settings(spark, [("America/New_York", "DMY")]))
+    assert sorted((r.n, r.utc) for r in out.collect()) == [(1, "1935-03-12T17:00:00.000000Z"), (2, "2080-03-01T17:00:00.000000Z")]

@@ -63,11 +63,11 @@ def _first(log: DataFrame, keys: list[str], order: list[str], when: Column) -> D
     """``log`` with ``_first``, the first moment of each key at which a condition holds. It is
     a minimum that is combined per task, so a hot key is no sort in one task; the join
     back is split by Spark where it is skewed."""
-    hits = log.where(F.coalesce(when, F.lit(False))).groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.min(F.struct(*order)).alias("_first"))
+    hits = log.where(F.coalesce(when, F.lit(False))).groupBy(*[F.col(k).alias(f"_key_{n}") for n, k in enumerate(keys)]).agg(F.min(F.struct(*order)).alias("_first_moment"))
     same = F.lit(True)
     for n, k in enumerate(keys):
-        same = same & log[k].eqNullSafe(hits[f"_k{n}"])
-    return log.join(hits, same, "left").select(*log.columns, "_first")
+        same = same & log[k].eqNullSafe(hits[f"_key_{n}"])
+    return log.join(hits, same, "left").select(*log.columns, "_first_moment")
 
 
 def block_learning(log: DataFrame, domain: str, order: list[str], blocks: Column) -> DataFrame:
@@ -75,8 +75,8 @@ def block_learning(log: DataFrame, domain: str, order: list[str], blocks: Column
     blocked; and ``failed``: blocked although it went through the proxy. ``order`` must
     tell requests apart."""
     learned = _first(log.withColumn("blocked", blocks), [domain], order, F.col("blocked"))
-    via = F.coalesce(F.col("_first") < F.struct(*order), F.lit(False))
-    return learned.withColumn("via_proxy", via).withColumn("failed", F.col("blocked") & F.col("via_proxy")).drop("_first")
+    via = F.coalesce(F.col("_first_moment") < F.struct(*order), F.lit(False))
+    return learned.withColumn("via_proxy", via).withColumn("failed", F.col("blocked") & F.col("via_proxy")).drop("_first_moment")
 
 
 def proxy_stats(learned: DataFrame, domain: str, status: Column) -> DataFrame:
@@ -93,7 +93,7 @@ def proxy_stats(learned: DataFrame, domain: str, status: Column) -> DataFrame:
 def not_stored_before(requests: DataFrame, keys: list[str], order: list[str], stores: Column) -> DataFrame:
     """Requests whose key no earlier request stored."""
     known = _first(requests, keys, order, stores)
-    return known.where(F.col("_first").isNull() | (F.struct(*order) <= F.col("_first"))).drop("_first")
+    return known.where(F.col("_first_moment").isNull() | (F.struct(*order) <= F.col("_first_moment"))).drop("_first_moment")
 
 
 def without_repeats(requests: DataFrame, fingerprint: str, bypass: Column, order: list[str]) -> DataFrame:
