@@ -117,6 +117,28 @@ def test_repeated_blocks(spark):
     assert repeated_lines.repeated_positions(df.limit(0), "s", "id", "t").count() == 0
 
 
+def test_blocks_of_lines_that_stand_twice(spark):
+    """Against all blocks counted plainly: a line at the top and again at the bottom."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    texts = ["\n".join([*"AB", "own " + "xyzuvw"[n], *"AC", *rng.choices("ABC", k=4), "end " + "pqrstu"[n], "A", "B"]) for n in range(6)] + ["A\nB\nA\nB"] * 2
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "id BIGINT, s BIGINT, t STRING")
+    lines = repeated_lines.keyed(df, "s", "id", "t")
+    common = repeated_lines.common_lines(lines, "s")
+    names = set(itertools.chain(*(r._common for r in common.collect())))
+    docs = defaultdict(set)
+    for i, keys in lines.select("id", "_keys").collect():
+        for a, b in itertools.combinations(range(len(keys) + 1), 2):
+            if all(k in names for k in keys[a:b]):
+                docs[tuple(keys[a:b])].add(i)
+    longer = {x: [len(docs[y]) for y in docs if len(y) == len(x) + 1 and y[: len(x)] == x] for x in docs}
+    want = {x: len(d) for x, d in docs.items() if len(d) >= 4 and max(longer[x], default=0) < len(d)}
+    got = {tuple(r.block): r.docs for r in repeated_lines.repeated_blocks(lines, common, "s").collect()}
+    assert {x: n for x, n in got.items() if x in want} == want and all(n == len(docs[x]) for x, n in got.items())
+
+
 def test_language_held_out(spark, samples):
     model = language.train(samples.where("sample_id % 2 = 0"))
     test = samples.where("sample_id % 2 = 1").select(F.col("sample_id").alias("id"), F.col("text").alias("title"), F.col("text").alias("content"), "lang")

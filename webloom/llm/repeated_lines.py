@@ -27,15 +27,22 @@ from pyspark.sql import functions as F
 from webloom.session import stored
 
 
+def _letters(line: Column) -> Column:
+    return F.lower(F.regexp_replace(line, r"\P{L}+", ""))
+
+
+def _hashed(letters: Column) -> Column:
+    return F.when(letters != "", F.xxhash64(letters))
+
+
 def letters_key(line: Column) -> Column:
     """The identifier of a line: a hash of its letters in lower case, null without letters."""
-    letters = F.lower(F.regexp_replace(line, r"\P{L}+", ""))
-    return F.get(F.transform(F.array(letters), lambda text: F.when(text != "", F.xxhash64(text))), F.lit(0))
+    return F.get(F.transform(F.array(_letters(line)), _hashed), F.lit(0))
 
 
 def line_keys(content: Column) -> Column:
     """The identifier of each line in order."""
-    return F.transform(F.split(content, "\n", -1), letters_key)
+    return F.transform(F.transform(F.split(content, "\n", -1), _letters), _hashed)
 
 
 def keyed(docs: DataFrame, source: str, key: str, content: str) -> DataFrame:
@@ -68,16 +75,28 @@ def repeated_blocks(lines: DataFrame, common: DataFrame, source: str, least: int
     least ``least`` documents share and none of them can be prolonged in all of
     these documents: the intervals of common prefixes in the suffix array.
 
-    A document's first occurrence of each line counts."""
+    A suffix starts at every common line. A document in which a block stands several times
+    counts once: of its sorted suffixes, the common prefix of each two neighbours is taken
+    off again, which leaves one for every prefix the document holds."""
     runs = marked(lines, common, source).select(source, "_runs")
 
-    suffixes = F.expr(
-        """transform(
-             filter(sequence(0, size(_runs) - 1), i -> _runs[i] IS NOT NULL AND NOT coalesce(array_contains(slice(_runs, 1, i), _runs[i]), false)),
-             i -> slice(_runs, i + 1, coalesce(nullif(array_position(transform(slice(_runs, i + 1, size(_runs)), x -> x IS NULL), true), 0) - 1, size(_runs))))"""
+    # Suffixes are bound as a lambda's variable; as a column the optimizer would put their
+    # computation in place of each use. Only documents with a line that stands twice have
+    # suffixes with a common prefix, so only theirs are sorted.
+    each = F.expr(
+        """transform(array(transform(
+             filter(sequence(0, size(_runs) - 1), i -> _runs[i] IS NOT NULL),
+             i -> slice(_runs, i + 1, coalesce(nullif(array_position(transform(slice(_runs, i + 1, size(_runs)), x -> x IS NULL), true), 0) - 1, size(_runs))))),
+           u -> CASE WHEN size(array_distinct(transform(u, x -> x[0]))) = size(u) THEN transform(u, x -> struct(x AS suffix, 1 AS n))
+             ELSE transform(array(array_sort(u)), a -> concat(
+               transform(a, x -> struct(x AS suffix, 1 AS n)),
+               transform(filter(transform(
+                 sequence(1, size(a) - 1),
+                 i -> slice(a[i], 1, coalesce(nullif(array_position(transform(arrays_zip(a[i - 1], a[i]), z -> NOT (z['0'] <=> z['1'])), true), 0) - 1, size(a[i])))), x -> size(x) > 0),
+                 x -> struct(x AS suffix, -1 AS n))))[0] END)[0]"""
     )
-    every = runs.where(F.size("_runs") > 0).select(source, F.explode(suffixes).alias("suffix"))
-    weighed = every.groupBy(source, "suffix").agg(F.count("*").alias("docs"))
+    every = runs.where(F.exists("_runs", lambda x: x.isNotNull())).select(source, F.inline(each))
+    weighed = every.groupBy(source, "suffix").agg(F.sum("n").alias("docs"))
     weighed = weighed.withColumn("first", F.get("suffix", F.lit(0))).withColumn("second", F.get("suffix", F.lit(1)))
     # A line is a block of its own unless the same line follows it everywhere.
     lone = weighed.groupBy(source, "first").agg(F.sum("docs").alias("docs"), (F.count_if(F.col("second").isNull()) > 0).alias("_ends"), (F.min("second") != F.max("second")).alias("_parts"))
