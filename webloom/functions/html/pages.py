@@ -78,14 +78,19 @@ def to_markdown(node: Node) -> str:
 
     def inside(n: Node, depth: int) -> list[str]:
         out, run = [], Node("span")
-        for c in [*n.children, Node("div")]:
+
+        def close() -> None:
+            if text := inline(run).strip():
+                out.append(text)
+            run.children.clear()
+
+        for c in n.children:
             if isinstance(c, Node) and (c.tag in BLOCKS or c.tag in ("li", "body", "html")):
-                if text := inline(run).strip():
-                    out.append(text)
-                run = Node("span")
-                out += block(c, depth + 1)
+                close()
+                out.extend(block(c, depth + 1))
             else:
                 run.children.append(c)
+        close()
         return [b for b in out if b.strip()]
 
     return "\n\n".join(block(node))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -168,7 +169,9 @@ def abbreviations(spark: SparkSession, zones: list[str], years: tuple[int, int]
                 t = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(zone)
                 rows.add((name, (t.tzname() or "").lower(), t.year, int(t.utcoffset().total_seconds())))
     latest = {(z, w, y): s for z, w, y, s in sorted(rows)}
-    return spark.createDataFrame([(*k, s) for k, s in latest.items()] or [("", "", 0, 0)], "_zone STRING, _word STRING, _year INT, _seconds INT")
+    # A frame travels as one Arrow batch and stays a local relation.
+    frame = pd.DataFrame([(*k, s) for k, s in latest.items()] or [("", "", 0, 0)], columns=["_zone", "_word", "_year", "_seconds"])
+    return spark.createDataFrame(frame, "_zone STRING, _word STRING, _year INT, _seconds INT")
 
 
 def histories(years: tuple[int, int], zones: list[str] | None = None) -> dict[str, str]:
