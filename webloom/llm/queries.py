@@ -84,7 +84,7 @@ SELECT i.id, CASE WHEN i.content IS NULL THEN NULL ELSE coalesce(kept.content, '
 
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated blocks of lines of each spider, with the documents they span."""
-    lines = repeated_lines.keyed(_items(spark, sf_dir), "spider_id", "id", "content")
+    lines = stored(repeated_lines.keyed(_items(spark, sf_dir), "spider_id", "id", "content"), "lines")
     return repeated_lines.repeated_blocks(lines, repeated_lines.common_lines(lines, "spider_id"), "spider_id")
 
 
