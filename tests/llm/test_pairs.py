@@ -107,14 +107,31 @@ def test_ambiguous_initials_stay_apart(spark):
     assert names.variant_pairs(df).count() == 0
 
 
-def test_evenly_spread_edits(spark):
-    """Similar texts without a common run of 12 words, of all sizes and mixed widths."""
+def edited_texts():
     rows = []
     for i, (n, every) in enumerate([(100, 12), (150, 12), (150, 13), (300, 14), (900, 13), (2500, 12), (130, 11), (60, 13)]):
         base = [f"word{i}x{k}" for k in range(n)]
         rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join("other" + w if k % every == every // 2 else w for k, w in enumerate(base)))]
         rows += [(10 * i + 2, " ".join(base[: int(0.62 * n)])), (10 * i + 3, " ".join(base + [f"more{i}x{k}" for k in range(int(0.6 * n))]))]
+    return rows
+
+
+def test_evenly_spread_edits(spark):
+    """Similar texts without a common run of 12 words, of all sizes and mixed widths."""
+    rows = edited_texts()
     df = spark.createDataFrame(rows, "id BIGINT, content STRING")
     want = brute(rows)
     assert (10, 11) in want and (30, 31) in want and (50, 51) in want
     assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == want
+
+
+def test_levels_and_parts_lose_nothing(spark, monkeypatch):
+    """As many parts as large collections have, and every level of prefixes."""
+    assert neardup.part_count(600_000) == 16 and neardup.part_count(33_000_000) == 6050
+    rows = edited_texts()
+    df = spark.createDataFrame(rows, "id BIGINT, content STRING")
+    want = brute(rows)
+    monkeypatch.setattr(neardup, "part_count", lambda texts: 60)
+    for cost in (0.0, 1e9):
+        monkeypatch.setattr(neardup, "CANDIDATE", cost)
+        assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == want

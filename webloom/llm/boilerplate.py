@@ -68,7 +68,8 @@ def site_lines(rows: DataFrame, source: str, content: str, least: int = 4, share
     and ``of_sources`` of them, so it has at most 1 / ``of_sources`` x the mean of a source.
 
     A line is repeated if it stands in ``least`` pages of its source and ``share`` of
-    them, with ``least`` different longest lines beside it. It is a heading if lines that
+    them, with ``least`` different longest lines beside it (counted approximately, which is
+    exact for so few). It is a heading if lines that
     are open and not repeated follow ``follow`` of its occurrences. Counts are combined
     before they are shuffled; contexts are counted for common lines only."""
     lines = stored(rows.where(F.col(content).isNotNull()).select(F.col(source), _shapes(F.col(content)).alias("_lines")), "blocks")
