@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given
@@ -120,6 +123,26 @@ def test_routing_and_lanes(spark):
     assert [(r.lane, r.opened) for r in got] == [(0, True), (1, True), (0, False), (1, True), (0, True)]
 
 
+def test_onsite_first_in_a_session(sf):
+    """The first columns of a session have the numbers a lambda's variables can get."""
+    code = f"""
+from webloom.plans import registry
+from webloom.session import local_session
+spark = local_session(2, "1g", 2)
+print("rows", registry.QUERIES["onsite"](spark, {sf!r}).count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")}  # a JVM of its own
+    ran = subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200\n" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_within(spark):
+    rows = [("a.example", ["A.example"]), ("b.a.example", ["x", "a.example"]), ("ba.example", ["a.example"]), ("a.example", []), ("a.example", None), (None, ["a.example"]), ("a.example", [None, "a.example"])]
+    df = spark.createDataFrame(rows, "h STRING, d ARRAY<STRING>")
+    assert [r[0] for r in df.select(urls.within(F.col("h"), F.col("d"))).collect()] == [True, True, False, False, None, None, True]
+
+
 def test_fleet(spark):
     assert stats.parallel_degree(4000, 8, 3, 1) == 8 and stats.parallel_degree(300, 8, 0, 5) == 2
     verdicts = spark.createDataFrame([(1, 5, "passed"), (2, 1, "crawling")], "spider_id INT, items INT, verdict STRING")

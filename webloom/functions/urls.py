@@ -60,8 +60,12 @@ def pdf_title(url: Column) -> Column:
 
 
 def within(host: Column, domains: Column) -> Column:
-    """Whether a host is one of the domains or below one."""
-    return F.exists(domains, lambda d: (host == F.lower(d)) | host.endswith(F.concat(F.lit("."), F.lower(d))))
+    """Whether a host is one of the domains or below one. The host travels in the array:
+    Spark numbers a lambda's variables anew and takes a column with the same number for
+    one of them, so a filter whose lambda refers to a column can end up below the join
+    that brings this column."""
+    pairs = F.arrays_zip(domains.alias("domain"), F.array_repeat(host, F.size(domains)).alias("host"))
+    return F.exists(pairs, lambda x: (x["host"] == F.lower(x["domain"])) | x["host"].endswith(F.concat(F.lit("."), F.lower(x["domain"]))))
 
 
 def archived(url: Column) -> Column:
