@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 from webloom.llm import graphs, names, neardup
 
@@ -135,3 +136,34 @@ def test_levels_and_parts_lose_nothing(spark, monkeypatch):
     for cost in (0.0, 1e9):
         monkeypatch.setattr(neardup, "CANDIDATE", cost)
         assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == want
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files that stand on the disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(k) for k in range(files.size())]
+    return sum(f.length() for f in found if f.getName().startswith("shuffle_"))
+
+
+def test_many_parts_are_joined_in_rounds(spark, sf, monkeypatch):
+    """Copies of bitmaps for many parts do not stand on the disk at once, nor after the join."""
+    items = spark.read.parquet(f"{sf}/scraped_items.parquet")
+    rows = [(r.id, r.content) for r in items.select("id", "content").collect()]
+    monkeypatch.setattr(neardup, "part_count", lambda texts: 400)
+    before, sizes, at_once = shuffled(spark), [], neardup._in_parts
+
+    def noted(rows, parts, join):
+        row = rows.selectExpr("part", *(f"length({c}) AS {c}" for c in rows.columns[1:])).collect()
+        sizes.append((sum(sum(r[1:]) for r in row), {r["part"] for r in row}))
+        return at_once(rows, parts, join)
+
+    monkeypatch.setattr(neardup, "_in_parts", noted)
+    _, links = neardup.similar_classes(items)
+    for _ in range(50):
+        if shuffled(spark) - before < max(n for n, _ in sizes):
+            break
+        time.sleep(0.1)
+    assert shuffled(spark) - before < max(n for n, _ in sizes)
+    assert len(sizes) > 3 and max(n for n, _ in sizes) < 0.3 * sum(n for n, _ in sizes)
+    assert all(max(p) < -(-400 // len(sizes)) for _, p in sizes)
+    assert {tuple(r) for r in neardup.similar_pairs(items).collect()} == brute(rows)
