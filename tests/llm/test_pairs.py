@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
+
+import numpy as np
 
 from webloom.llm import graphs, names, neardup
 
@@ -167,3 +170,15 @@ def test_many_parts_are_joined_in_rounds(spark, sf, monkeypatch):
     assert len(sizes) > 3 and max(n for n, _ in sizes) < 0.3 * sum(n for n, _ in sizes)
     assert all(max(p) < -(-400 // len(sizes)) for _, p in sizes)
     assert {tuple(r) for r in neardup.similar_pairs(items).collect()} == brute(rows)
+
+
+def test_all_runs_are_counted(spark):
+    """The order of runs counts every class, also what more than 255 of a task share."""
+    texts = [f"the same three words {k} and{k} other{k}" for k in range(700)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:50])], "id BIGINT, content STRING").coalesce(1)
+    counts, classes = neardup.run_order(neardup.classes(df, "id", "content", 1), 3)
+    want: Counter = Counter()
+    for s in neardup._sets(*neardup.Hasher().words(texts), 3):
+        want.update((s >> np.uint64(64 - neardup.COUNTER_BITS)).tolist())
+    assert classes == 700 and max(want.values()) >= 700
+    assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == dict(want)
