@@ -1,7 +1,8 @@
 """Residue, boilerplate, repeated lines, languages and encodings."""
 
+import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,14 @@ def test_mojibake_round_trip(spark, samples):
     assert set(out) == {1000 + i for i in range(len(clean))} | {5002}
     assert sum(out[1000 + i] == t for i, t in enumerate(clean)) >= 0.95 * len(clean)
     assert mojibake.damaged(docs.limit(0), samples).count() == 0
+
+
+def test_reference_takes_every_word(spark):
+    """Words beyond the 50,000 most frequent count too, once a distinct word."""
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=4), 50_200)]
+    texts = [" ".join(words[k : k + 1000] * 2) for k in range(0, len(words), 1000)] + ["zzħz"]
+    known = mojibake.reference(spark.createDataFrame([(t,) for t in texts], "text STRING"))
+    want = Counter(p for w in [*words, "zzħz"] for p in itertools.pairwise(f" {w} "))
+    assert known.pairs == want and known.total == sum(want.values()) and "ħ" in known.letters
+    assert known.clean("Ħaħa".lower()) and not known.clean("ĝaħa")
+    assert mojibake.reference(spark.createDataFrame([], "text STRING")).total == 1

@@ -125,13 +125,10 @@ _AROUND = "".join(SIGNS)
 class Reference:
     """Alphabets and letter pairs of a clean reference; size bounded by its letters."""
 
-    def __init__(self, words: list[str]):
-        self.letters = frozenset(c for w in words for c in w if ord(c) > 127) | frozenset(LETTERS)
-        self.pairs: Counter = Counter()
-        for w in words:
-            t = f" {w} "
-            self.pairs.update(zip(t, t[1:]))
-        self.total = sum(self.pairs.values()) or 1
+    def __init__(self, pairs: Counter):
+        self.letters = frozenset(c for p in pairs for c in p if ord(c) > 127) | frozenset(LETTERS)
+        self.pairs = pairs
+        self.total = sum(pairs.values()) or 1
 
     def likely(self, word: str) -> float:
         """Mean log-frequency of a word's letter pairs."""
@@ -155,10 +152,23 @@ class Reference:
         return not any(cyrillic) or all("\u0400" <= c <= "\u04ff" for p in parts for c in p)
 
 
-def reference(samples: DataFrame, max_words: int = 50_000) -> Reference:
-    """From texts known to be clean; at most ``max_words`` distinct words."""
-    words = samples.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("w")).groupBy("w").count()
-    return Reference([r[0] for r in words.orderBy(F.desc("count"), "w").limit(max_words).select("w").collect()])
+def reference(samples: DataFrame) -> Reference:
+    """From texts known to be clean, all their distinct words. The workers count the letter
+    pairs, a space before and after each word."""
+    words = samples.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("w")).distinct()
+
+    def count(batches):
+        pairs: Counter = Counter()
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                t = f" {w} "
+                pairs.update(zip(t, t[1:]))
+        if pairs:
+            a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
+
+    counted = words.mapInArrow(count, "a STRING, b STRING, n BIGINT").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return Reference(Counter({(r["a"], r["b"]): r["n"] for r in counted.collect()}))
 
 
 def words_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
